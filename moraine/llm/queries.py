@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import bpe, chat, contamination, exact, language, lines, simhash, toxicity
+from moraine.llm import bpe, chat, contamination, exact, html_text, language, licenses, lines, simhash, toxicity
 from moraine.llm.common import documents
 
 
@@ -13,6 +13,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scanned(documents(spark, sf_dir))
+    return found.select("doc_id", F.array_join("families", ",").alias("families"), "n_paragraphs", F.round("probability", 6).alias("probability"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.scored(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -29,6 +34,10 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("clean_text", 256).alias("text_sha256"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return language.identified(docs, language.fit(docs))
@@ -47,7 +56,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_toxicity, op4_chat, op5_lines, op7_language, op8_exact, op9_decontamination, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_licenses, op3_toxicity, op4_chat, op5_lines, op6_html, op7_language, op8_exact, op9_decontamination, op10_bpe)}
 
 #: Regular expressions of the SQL below; DuckDB's engine knows \x escapes.
 _CONTROL = r"<s>|</s>|\[/?INST\]|\[/?SYS\]|\[/?ROLE\]|\[=\]"
