@@ -252,7 +252,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sl
 
 def _merged(all_spans):
     """The union of covered runs of several blocks."""
-    pairs = F.array_sort(F.flatten(F.transform(all_spans, lambda s: F.transform(F.sequence(F.lit(0), F.size(s) / 2 - 1).cast("array<int>"), lambda k: F.struct(F.get(s, k * 2).alias("a"), F.get(s, k * 2 + 1).alias("b"))))))
+    pairs = F.array_sort(F.flatten(F.transform(all_spans, lambda s: F.transform(F.sequence(F.lit(0), (F.size(s) / 2).cast("int") - 1), lambda k: F.struct(F.get(s, k * 2).alias("a"), F.get(s, k * 2 + 1).alias("b"))))))
     empty = F.array().cast("array<int>")
     return F.aggregate(
         F.filter(pairs, lambda p: p["a"].isNotNull()), empty,
@@ -265,8 +265,8 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A document is told by (doc_id, text), so that rows that share an id are judged apart.
     """
-    marked = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    named = marked.select(F.struct("doc_id", "_sha").alias("doc_id"), "text")
-    dirty = contaminated(named, benchmark).where("contaminated").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id._sha").alias("_found")).distinct()
+    sha = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
+    named = docs.select(F.struct(docs["doc_id"].alias("id"), sha.alias("sha")).alias("doc_id"), docs["text"])
+    dirty = contaminated(named, benchmark).where("contaminated").select(F.col("doc_id.id").alias("_id"), F.col("doc_id.sha").alias("_sha")).distinct()
     dirty = staged(dirty, "contaminated")
-    return marked.join(dirty, marked["doc_id"].eqNullSafe(dirty["_id"]) & (marked["_sha"] == dirty["_found"]), "left_anti").drop("_sha")
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_id"]) & (sha == dirty["_sha"]), "left_anti")

@@ -91,6 +91,18 @@ def compared(docs: DataFrame, index: DataFrame, broadcast_bytes: int = BROADCAST
     return texts.groupBy("key", "norm").count().groupBy("key", F.unhex(F.sha2("norm", 256)).alias("sha")).agg(F.count("*").alias("strings"))
 
 
+def resolved(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """The entries, each with its group's rows and the row that stays (keep_id, keep_rid, keep_n)."""
+    found = staged(entries(docs), "entries")
+    index = build_index(found, bucket_keys)
+    bytes_ok = staged(compared(docs, index), "compared")
+    keep = index.join(bytes_ok, ["key", "sha"], "left").select(
+        "key", "sha", "rows", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), (-F.col("best.longest")).alias("keep_n"), F.coalesce("strings", F.lit(1)).alias("strings")
+    )
+    size = F.when(F.col("strings") > 1, F.raise_error("different texts share a SHA-256 digest").cast("bigint")).otherwise(F.col("rows"))
+    return found.join(staged(keep, "keep"), ["key", "sha"]).withColumn("rows", size).drop("strings")
+
+
 def exact_duplicates(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -99,22 +111,21 @@ def exact_duplicates(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFra
     group is kept. A null text counts as empty. Other columns are ignored; an empty table gives an
     empty table.
     """
-    found = staged(entries(docs), "entries")
-    index = build_index(found, bucket_keys)
-    bytes_ok = staged(compared(docs, index), "compared")
-    index = index.join(bytes_ok, ["key", "sha"], "left")
-    keep = staged(index.select("key", "sha", "rows", "best.doc_id", "best.rid", F.coalesce("strings", F.lit(1)).alias("strings")).withColumnsRenamed({"doc_id": "keep_id", "rid": "keep_rid"}), "keep")
-    size = F.when(F.col("strings") > 1, F.raise_error("different texts share a SHA-256 digest").cast("bigint")).otherwise(F.col("rows"))
-    return found.join(keep, ["key", "sha"]).select("doc_id", "keep_id", size.alias("group_size"), (F.col("rid") == F.col("keep_rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    kept = (F.col("rid") == F.col("keep_rid")).alias("kept")
+    return resolved(docs, bucket_keys).select("doc_id", "keep_id", F.col("rows").alias("group_size"), kept, F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns.
+    """The documents that stay, one of each group, with all their columns.
 
-    Rows that repeat both doc_id and text collapse to one.
+    Documents are told by doc_id, digest and length; of rows that agree in all three any one stays.
     """
-    keep = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha"), F.lit(1).alias("_kept"))
-    # Only one original among whitespace variants stays, so the row's own length tells it from variants with the same id.
-    marked = docs.withColumn("_sha", F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    joined = marked.join(keep.distinct(), marked["doc_id"].eqNullSafe(keep["_id"]) & (marked["_sha"] == keep["_sha"]), "left_semi").drop("_sha")
-    return joined
+    found = staged(resolved(docs).select("doc_id", "sha", "n", "rid", "keep_rid"), "resolved")
+    keep = found.where("rid = keep_rid").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("n").alias("_n"))
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    sha = F.unhex(F.sha2(normalised(docs["text"]), 256))
+    out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]) & (sha == keep["_sha"]) & (F.char_length(text).cast("bigint") == keep["_n"]), "left_semi")
+    if found.groupBy("doc_id", "sha", "n").count().where("count > 1").isEmpty():
+        return out
+    row = out.select(F.struct(*[out[c] for c in out.columns]).alias("row"), F.struct(out["doc_id"], F.sha2(normalised(out["text"]), 256).alias("sha")).alias("same"))
+    return row.dropDuplicates(["same"]).select("row.*")

@@ -364,6 +364,11 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
             inner = f"<div>{inner}</div>"
         if r.random() < 0.2:
             inner = f"<main>{inner}</main>"
+        bare = r.random()
+        if bare < 0.08:
+            return inner
+        if bare < 0.12:
+            return article() if r.random() < 0.5 else mine(sentences(1, 3))
         low = [comments()] * (r.random() < 0.35) + [aside_box() for _ in range(r.choice((0, 0, 1, 2)))] + [form()] * (r.random() < 0.15)
         low += [box("footer", r.choice((f"&copy; {word()}.example &middot; {sentences(1, 3)}", f"<p>{sentences(1, 2)}</p>", links(2, 6), f"<p>&copy; {words(1, 4)}</p>{links(2, 4)}")))] * (r.random() < 0.85)
         return head + "<!-- x -->".join((*top, inner, *low)) + r.choice(("</body></html>", "</body></html>", "", "</body>"))

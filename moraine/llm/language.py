@@ -142,6 +142,8 @@ def identified(docs: DataFrame, model: Model, margin: float = MARGIN, keep: list
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The documents that language identification does not reject, with all their columns."""
     model = model or fit(docs)
-    names = [c for c in docs.columns if c != "doc_id"]
-    found = identified(docs, model, keep=names)
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    # Columns travel under names of their own, so that none clashes with the result's.
+    names = {c: f"_column_{k}" for k, c in enumerate(docs.columns) if c != "doc_id"}
+    rows = docs.select("doc_id", docs["text"], *[docs[c].alias(n) for c, n in names.items()])
+    found = identified(rows, model, keep=list(names.values())).where(~F.col("rejected"))
+    return found.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])

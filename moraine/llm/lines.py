@@ -41,21 +41,23 @@ def repeats(found: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Every row with all its columns but text; then clean_text, n_lines, n_removed.
+    """One row for each document: doc_id, clean_text, n_lines, n_removed.
 
     Occurrences are ordered by doc_id (nulls last), row and position, in one document or several;
     of rows that are repeated whole, the first keeps its lines. A null text gives an empty clean_text, one
-    line and nothing removed. Texts with fewer solid lines than a window are left alone. The rows are
-    numbered by the scan, so docs must read the same twice, as files do.
+    line and nothing removed. Texts with fewer solid lines than a window are left alone. Other columns are
+    ignored; an empty table gives an empty table. The rows are numbered by the scan, so docs must read the
+    same twice, as files do.
     """
     found = staged(windows(docs, window), "windows")
     covered = repeats(found).groupBy("rid").agg(F.collect_set("at").alias("at"))
-    covered = covered.select(F.col("rid").alias("_rid"), F.array_distinct(F.flatten(F.transform("at", lambda k: F.sequence(k, k + (window - 1))))).alias("_covered"))
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id()).join(staged(covered, "covered"), "_rid", "left")
-    rows = rows.withColumn("_lines", line_array(F.col("text")))
-    rows = rows.withColumn("_gone", F.when(F.col("_covered").isNull(), F.array().cast("array<int>")).otherwise(F.transform("_covered", lambda k: F.get(_solid(F.col("_lines")), k))))
+    covered = covered.select("rid", F.array_distinct(F.flatten(F.transform("at", lambda k: F.sequence(k, k + (window - 1))))).alias("covered"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.alias("text")).join(staged(covered, "covered"), "rid", "left")
+    rows = rows.withColumn("lines", line_array(F.col("text")))
+    rows = rows.withColumn("gone", F.when(F.col("covered").isNull(), F.array().cast("array<int>")).otherwise(F.transform("covered", lambda k: F.get(_solid(F.col("lines")), k))))
     return rows.select(
-        *[c for c in docs.columns if c != "text"],
-        F.when(F.size("_gone") == 0, F.coalesce(F.col("text").cast("string"), F.lit(""))).otherwise(F.array_join(F.filter("_lines", lambda line, k: ~F.array_contains("_gone", k)), "\n")).alias("clean_text"),
-        F.size("_lines").cast("bigint").alias("n_lines"), F.size("_gone").cast("bigint").alias("n_removed"),
-    )
+        "doc_id",
+        F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.filter("lines", lambda line, k: ~F.array_contains("gone", k)), "\n")).alias("clean_text"),
+        F.size("lines").cast("bigint").alias("n_lines"), F.size("gone").cast("bigint").alias("n_removed"),
+    )

@@ -223,9 +223,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_keys: int = SHA
 def representatives(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns: the one with the smallest doc_id.
 
-    Rows are told by (doc_id, fingerprint). A component without any id keeps all its rows, and so do rows
-    that repeat an id with equal fingerprints: which of them to keep is for exact de-duplication to say.
+    Documents are told by doc_id: rows that repeat the id that stays all stay, as do rows without an id. Which of
+    such rows to keep is for exact de-duplication to say.
     """
-    found = near_duplicates(docs).where("component_id is null or doc_id = component_id").select("doc_id").distinct()
-    kept = staged(found, "kept").withColumnRenamed("doc_id", "_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    found = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = staged(found, "kept")
+    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
