@@ -280,16 +280,27 @@ def retention_delete(spark, sf_dir):
     return retention.culled(_snapshots(spark, sf_dir), ["event_type"]).select("id", "event_type", "ts")
 
 
-def _rule(name: str, rule: str):
+def _old_snapshots(spark, sf_dir):
+    """Orders as snapshots over several years, with many equal times at midnight."""
+    o = _table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("event_type"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("argpos"), (F.col("o_orderkey") % 7 != 0).alias("has_bloom"))
+
+
+_EVENTS_AS, _ORDERS_AS = "SELECT event_id AS id, event_type, ts, event_id % 7 <> 0 AS has_bloom FROM events", "SELECT o_orderkey AS id, o_orderstatus AS event_type, o_orderdate AS ts, o_orderkey % 7 <> 0 AS has_bloom FROM orders"
+
+
+def _rule(name: str, rule: str, rows, sql: str):
     def f(spark, sf_dir):
-        return retention.picks(_snapshots(spark, sf_dir), ["event_type"], {rule: retention.RULES[rule]}).select("event_type", F.col("cutoff").cast("string").alias("cutoff"), "id", "ts")
+        return retention.picks(rows(spark, sf_dir), ["event_type"], {rule: retention.RULES[rule]}).select("event_type", F.col("cutoff").cast("string").alias("cutoff"), "id", "ts")
 
     f.__name__ = f"retention_{name}"
-    query(f"WITH {_CUTS} SELECT event_type, CAST(cutoff AS VARCHAR) AS cutoff, id, ts FROM p WHERE rule = '{rule}'")(f)
+    query(f"WITH {_CUTS.replace(_EVENTS_AS, sql)} SELECT event_type, CAST(cutoff AS VARCHAR) AS cutoff, id, ts FROM p WHERE rule = '{rule}'")(f)
 
 
-for _name, _r in (("daily", "days"), ("weekly", "weeks"), ("monthly", "months"), ("yearly", "years")):
-    _rule(_name, _r)
+for _name, _r in (("daily", "days"), ("weekly", "weeks")):
+    _rule(_name, _r, _snapshots, _EVENTS_AS)
+for _name, _r in (("monthly", "months"), ("yearly", "years")):
+    _rule(_name, _r, _old_snapshots, _ORDERS_AS)
 
 
 @query(f"WITH {_CUTS} SELECT c.event_type, c.rule, CAST(c.cutoff AS VARCHAR) AS cutoff, x.ts FROM c ASOF JOIN (SELECT event_type, ts FROM e WHERE has_bloom) x ON c.event_type = x.event_type AND x.ts <= CAST(c.cutoff AS TIMESTAMP)")
