@@ -269,4 +269,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     named = docs.select(F.struct(docs["doc_id"].alias("id"), sha.alias("sha")).alias("doc_id"), docs["text"])
     dirty = contaminated(named, benchmark).where("contaminated").select(F.col("doc_id.id").alias("_id"), F.col("doc_id.sha").alias("_sha")).distinct()
     dirty = staged(dirty, "contaminated")
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_id"]) & (sha == dirty["_sha"]), "left_anti")
+    # What is dropped grows with the input, so it is joined by a shuffle at any size.
+    return docs.join(dirty.hint("merge"), docs["doc_id"].eqNullSafe(dirty["_id"]) & (sha == dirty["_sha"]), "left_anti")

@@ -124,7 +124,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     keep = found.where("rid = keep_rid").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("n").alias("_n"))
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     sha = F.unhex(F.sha2(normalised(docs["text"]), 256))
-    out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]) & (sha == keep["_sha"]) & (F.char_length(text).cast("bigint") == keep["_n"]), "left_semi")
+    # A sort-merge join at any size: what is kept grows with the input, so a broadcast could only ever serve small ones.
+    out = docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["_id"]) & (sha == keep["_sha"]) & (F.char_length(text).cast("bigint") == keep["_n"]), "left_semi")
     if found.groupBy("doc_id", "sha", "n").count().where("count > 1").isEmpty():
         return out
     row = out.select(F.struct(*[out[c] for c in out.columns]).alias("row"), F.struct(out["doc_id"], F.sha2(normalised(out["text"]), 256).alias("sha")).alias("same"))

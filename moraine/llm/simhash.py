@@ -228,4 +228,5 @@ def representatives(docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     kept = staged(found, "kept")
-    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
+    # What is kept grows with the input, so it is joined by a shuffle at any size.
+    return docs.join(kept.hint("merge"), docs["doc_id"] == kept["_id"], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
