@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 #: Bytes before a block's data when it is hashed.
 BLOCK_MARK = b"blk\0"
@@ -14,7 +15,7 @@ BLOCK_MARK = b"blk\0"
 ID_BYTES = 28
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _sha3_224(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else hashlib.sha3_224(x).digest())
 
