@@ -37,7 +37,8 @@ def repeats(found: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid", "at")
     groups = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
     groups = staged(groups.select("hash", F.col("first.rid").alias("first_rid"), F.col("first.at").alias("first_at")), "groups")
-    return found.join(groups, "hash").where("rid <> first_rid or at <> first_at").select("rid", "at")
+    # Both joins below are shuffles at any size: their smaller sides grow with the input too.
+    return found.join(groups.hint("merge"), "hash").where("rid <> first_rid or at <> first_at").select("rid", "at")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -53,7 +54,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     covered = repeats(found).groupBy("rid").agg(F.collect_set("at").alias("at"))
     covered = covered.select("rid", F.array_distinct(F.flatten(F.transform("at", lambda k: F.sequence(k, k + (window - 1))))).alias("covered"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.alias("text")).join(staged(covered, "covered"), "rid", "left")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.alias("text")).join(staged(covered, "covered").hint("merge"), "rid", "left")
     rows = rows.withColumn("lines", line_array(F.col("text")))
     rows = rows.withColumn("gone", F.when(F.col("covered").isNull(), F.array().cast("array<int>")).otherwise(F.transform("covered", lambda k: F.get(_solid(F.col("lines")), k))))
     return rows.select(
