@@ -6,9 +6,12 @@
    (block, value) is a shard, and only members of the same shard are compared.
 3. In each shard a BK-tree is built: children are keyed by their integer Hamming distance to
    the parent. A search at distance d from a node follows only edges in [d - r, d + r].
-   Shards of up to SHARD_KEYS keys are searched whole, many in one task. A larger shard is cut
-   into parts of that size; each part's tree is broadcast to the other parts of its shard only,
-   so what is copied has a proven bound (SHARD_KEYS keys of 8 bytes) at any corpus size.
+   Shards of up to SHARD_KEYS keys are searched whole, many in one task. The other bits of a
+   larger shard are cut into radius + 1 blocks again, so its keys go to radius + 1 times as many
+   shards, each about a thousandth of it in size: work grows with the keys, not with their square.
+   Only a shard that further blocks do not thin out (near copies by the thousand, which share most of
+   their bits) is cut into parts of SHARD_KEYS keys; each part's tree is broadcast to the other parts
+   of its shard, so what is copied has a proven bound (SHARD_KEYS keys of 8 bytes) at any corpus size.
 4. A shard reports a star for each of its local components, so its output never exceeds its
    members, however many pairs are close; components() joins the stars.
 """
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moraine.llm.common import id_type, map_batches, parts_for, staged
@@ -178,27 +181,72 @@ def _search_parts(table: pa.Table) -> pa.Table:
     return _found(*stars(keys, np.zeros(len(keys), np.int64), None if i == j else part == j))
 
 
-def blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, bits) of radius + 1 blocks that make up 64 bits."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def blocks(bits: list[int], radius: int) -> list[list[int]]:
+    """radius + 1 blocks of nearly the same size, each a list of bit numbers, that make up the given bits."""
+    cuts = [len(bits) * i // (radius + 1) for i in range(radius + 2)]
+    return [bits[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _value(bits: list[int]) -> Column:
+    """The bits (neighbours) of fp as a number."""
+    return F.shiftrightunsigned("fp", bits[0]).bitwiseAND(F.lit((1 << len(bits)) - 1))
+
+
+def _route(keys: DataFrame, radius: int) -> DataFrame:
+    """(fp, path, value) for each block of all 64 bits: path names the blocks that a shard shares, value their contents."""
+    each = [F.struct(F.lit(k).cast("bigint").alias("path"), _value(bits).alias("value")) for k, bits in enumerate(blocks(list(range(64)), radius))]
+    return keys.select("fp", F.explode(F.array(*each)).alias("x")).select("fp", "x.path", "x.value")
+
+
+def _reroute(shards: DataFrame, radius: int) -> DataFrame:
+    """(fp, path, value, next_path, next_value): each key of a shard in the shards of the blocks of the bits that its shard leaves open."""
+    first, each = blocks(list(range(64)), radius), None
+    for k, block in enumerate(first):
+        # A block of the bits left is a run below the shard's own block and a run above it, either of which may be empty.
+        structs = []
+        for j, rest in enumerate(blocks([b for b in range(64) if b not in block], radius)):
+            low, high = [b for b in rest if b < block[0]], [b for b in rest if b > block[-1]]
+            value = F.lit(0).cast("bigint")
+            for run in (low, high):
+                value = value * (1 << len(run)) + _value(run) if run else value
+            number = F.col("value") * (1 << len(rest)) + value
+            structs.append(F.struct(F.lit(len(first) * (k + 1) + j).cast("bigint").alias("next_path"), number.alias("next_value")))
+        each = F.when(F.col("path") == k, F.array(*structs)) if each is None else each.when(F.col("path") == k, F.array(*structs))
+    return shards.select("fp", "path", "value", F.explode(each).alias("x")).select("fp", "path", "value", "x.next_path", "x.next_value")
+
+
+def _searched(routed: DataFrame, n: int) -> DataFrame:
+    """Stars of shards that are searched whole; a task takes many of them."""
+    tasks = routed.select("fp", F.xxhash64("path", "value").alias("shard"))
+    return tasks.withColumn("task", F.pmod("shard", F.lit(parts_for(n, TASK_ROWS)))).groupBy("task").applyInArrow(_search_task, "a bigint, b bigint")
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """Stars (a, b) over the fingerprints in distinct.fp whose components are those of all pairs within the radius."""
-    value = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << n) - 1)).alias("value")) for k, (s, n) in enumerate(blocks(radius))]
-    routed = distinct.select("fp", F.explode(F.array(*value)).alias("x")).select("fp", (F.col("x.value") * 64 + F.col("x.block")).alias("shard"))
-    sizes = routed.groupBy("shard").count()
-    large = staged(sizes.where(F.col("count") > shard_keys).select("shard", F.ceil(F.col("count") / shard_keys).cast("int").alias("parts")), "shards")
-    n, split = distinct.count() * len(value), large.count() > 0
-    usual = routed.join(large, "shard", "left_anti") if split else routed
-    out = usual.withColumn("task", F.pmod(F.xxhash64("shard"), F.lit(parts_for(n, TASK_ROWS)))).groupBy("task").applyInArrow(_search_task, "a bigint, b bigint")
-    if split:
-        cut = routed.join(large, "shard").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-        cut = cut.select("fp", "shard", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        cut = cut.select("fp", "shard", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-        out = out.unionByName(cut.groupBy("shard", "i", "j").applyInArrow(_search_parts, "a bigint, b bigint"))
-    return out
+    routed, shard = _route(distinct, radius), ["path", "value"]
+    large = staged(routed.groupBy(*shard).count().where(F.col("count") > shard_keys), "shards")
+    n, split = distinct.count() * (radius + 1), large.count() > 0
+    if not split:
+        return _searched(routed, n)
+    out = _searched(routed.join(large, shard, "left_anti"), n)
+    finer = _reroute(routed.join(large, shard), radius)
+    # What a shard costs is the square of its keys; finer shards are taken where they cost half of that at most and fit.
+    inner = staged(finer.groupBy(*shard, "next_path", "next_value").agg(F.count("*").alias("keys")), "finer")
+    cost = inner.groupBy(*shard).agg(F.sum(F.col("keys").cast("double") ** 2).alias("cost")).join(large, shard)
+    thin = F.col("cost") * 2 <= F.col("count").cast("double") ** 2
+    judged = staged(cost.select(*shard, "count", thin.alias("thin")), "judged")
+    sizes = inner.join(judged.where("thin"), shard, "left_semi")
+    over = sizes.where(F.col("keys") > shard_keys)
+    down = finer.join(judged.where("thin"), shard, "left_semi").select("fp", F.col("next_path").alias("path"), F.col("next_value").alias("value"))
+    crowded = over.select(F.col("next_path").alias("path"), F.col("next_value").alias("value"), F.col("keys").alias("count"))
+    small = int(sizes.where(F.col("keys") <= shard_keys).agg(F.sum("keys")).first()[0] or 0)
+    out = out.unionByName(_searched(down.join(crowded, shard, "left_anti"), small))
+    thick = judged.where("not thin").select(*shard, "count")
+    members = routed.join(thick, shard).unionByName(down.join(crowded, shard))
+    cut = members.withColumn("parts", F.ceil(F.col("count") / shard_keys).cast("int")).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    cut = cut.select("fp", *shard, "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cut = cut.select("fp", *shard, "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    return out.unionByName(cut.groupBy(*shard, "i", "j").applyInArrow(_search_parts, "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_keys: int = SHARD_KEYS) -> DataFrame:

@@ -81,6 +81,33 @@ def test_large_shard_of_near_copies(spark):
     assert roots.count() == len(keys) and roots.select("root").distinct().count() == 1
 
 
+def test_large_shards_are_routed_finer(spark):
+    """Spread keys with planted links: every shard is too large, and finer ones, some of them crowded, lose no link."""
+    r = random.Random(12)
+    keys = [r.getrandbits(64) for _ in range(1500)]
+    keys += [k ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 5))) for k in keys[:500]]
+    keys += [(0x2AB << 54 | r.getrandbits(54)) for _ in range(60)] + [keys[0] ^ sum(1 << b for b in r.sample(range(64), 2)) for _ in range(80)]
+    keys = sorted(set(keys))
+    signed = [(k - (1 << 64) if k >> 63 else k,) for k in keys]
+    array = np.array(keys, np.uint64)
+    a, b = np.nonzero(np.triu(np.bitwise_count(array[:, None] ^ array[None, :]) <= 4, 1))
+    want = slow_components(range(len(keys)), list(zip(a.tolist(), b.tolist())))
+    groups = lambda label: {frozenset(m) for m in label if len(m) > 1}
+    expected = defaultdict(set)
+    for k, root in want.items():
+        expected[root].add(signed[k][0])
+    for shard_keys in (1, 8):
+        roots = graph.components(simhash.links(spark.createDataFrame(signed, "fp bigint"), shard_keys=shard_keys)).collect()
+        got = defaultdict(set)
+        for x in roots:
+            got[x["root"]].add(x["node"])
+        assert groups(got.values()) == groups(expected.values())
+
+
+def test_blocks_make_up_the_bits():
+    assert sorted(b for block in simhash.blocks(list(range(7, 64)), 4) for b in block) == list(range(7, 64))
+
+
 def test_representatives(odd, none):
     kept = simhash.representatives(odd)
     assert kept.columns == odd.columns and kept.where("doc_id is null").count() == 2
