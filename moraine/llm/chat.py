@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import map_batches
+from moraine.llm.common import id_type, map_batches
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE]", "[/ROLE]", "[=]")
 CONTROL = re.compile(r"(\\*)(" + "|".join(map(re.escape, CONTROLS)) + ")")
@@ -125,50 +125,116 @@ def format_conversation(turns: list[tuple[str, str]]) -> tuple[str, list[Turn]]:
         escaped = more
 
 
+def needs_escape(role: str, text: str) -> bool:
+    """Whether a turn conflicts with the grammar as it stands; if so, the escaped one is proved to come back identical.
+
+    The parser reads turn after turn and never looks behind a turn's end, so a conversation comes back identical
+    if and only if each of its turns does alone.
+    """
+    if not _conflicts((role, text)):
+        return False
+    if not _same(list(parse_turns(render_turn(role, text, True))), [(role, text)]):
+        raise GrammarError("the round trip fails with everything escaped")
+    return True
+
+
+def turns_of(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text; null roles and texts are empty."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return conversations.select("conv_id", "turn", text("role"), text("text"))
+
+
 def grouped(conversations: DataFrame) -> DataFrame:
-    """conv_id, turns: array of (turn, role, text) by turn, then role and text; null turns come first, null roles and texts are empty."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", text("role").alias("role"), text("text").alias("text")))).alias("turns"))
+    """conv_id, turns: array of (turn, role, text) by turn, then role and text; null turns come first."""
+    return turns_of(conversations).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+
+
+class Digest:
+    """What is kept of a conversation while its formatted turns pass by, however many they are."""
+
+    def __init__(self, conv_id: object):
+        self.conv_id, self.n, self.loss_chars, self.chars = conv_id, 0, 0, len("<s>")
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, piece: str) -> None:
+        """Read a formatted turn back."""
+        self.chars += len(piece)
+        for t in parse_turns(piece):
+            self.n += 1
+            self.turns.update(f"{t.role}\n{t.text}\n".encode())
+            if t.role == "assistant":
+                shown = unescape(piece[t.start : t.end])
+                self.loss_chars += len(shown)
+                self.loss.update(shown.encode())
+
+    def row(self) -> tuple:
+        return self.conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
+
+def digests(conversations: DataFrame) -> DataFrame:
+    """The "digests" of formatted().
+
+    Turns are rendered, read back, compared and escaped where they are read, so the work on a conversation that
+    holds a third of all rows is spread over all tasks. A sort on (conv_id, turn), which can spill, then brings
+    them in order past a task that formats one turn after another and holds none of the others.
+    """
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            escaped = [needs_escape(*t) for t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(escaped, pa.bool_())], ["conv_id", "turn", "role", "text", "escaped"])
+
+    def rows(found: list[Digest], kind: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*(d.row() for d in found)))
+        kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kind = None, None
+        for batch in batches:
+            done, kind = [], batch.column(0).type
+            for conv_id, role, text, escaped in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
+                if now is None or now.conv_id != conv_id:
+                    done += [now] if now else []
+                    now = Digest(conv_id)
+                now.add(render_turn(role, text, escaped))
+            if done:
+                yield rows(done, kind)
+        if now:
+            yield rows([now], kind)
+
+    kind, turn = id_type(conversations, "conv_id"), id_type(conversations, "turn")
+    ready = map_batches(turns_of(conversations), decide, f"conv_id {kind}, turn {turn}, role string, text string, escaped boolean")
+    ordered = ready.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return map_batches(ordered, run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def formatted(conversations: DataFrame, output: str = "digests") -> DataFrame:
     """Format whole conversations (conv_id, turn, role, text).
 
     output "text": conv_id, formatted, turns (role, text, start, end: read back from it), loss_spans (start
-    and end of the assistant's texts in it). "digests": conv_id, n_turns, turns_sha256, loss_chars,
-    loss_sha256, formatted_chars, all from what the parser reads back. Null texts and roles are empty;
-    repeated rows are turns of their own; rows with a null conv_id form one conversation; other columns
-    are ignored; an empty table gives an empty table. A conversation is one value and held whole by its task.
+    and end of the assistant's texts in it); here a conversation is one value and held whole by its task.
+    "digests": conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all from what the parser
+    reads back; conversations may be of any size. Turns are in order of turn (nulls first), then role and text.
+    Null texts and roles are empty; repeated rows are turns of their own; rows with a null conv_id form one
+    conversation; other columns are ignored; an empty table gives an empty table.
     """
-    kind = conversations.schema["conv_id"].dataType.simpleString()
-    schema = {
-        "text": "formatted string, turns array<struct<role:string,text:string,start:int,end:int>>, loss_spans array<struct<start:int,end:int>>",
-        "digests": "n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
-    }[output]
-
-    def digests(line: str, turns: list[Turn]) -> tuple:
-        loss = "".join(unescape(line[t.start : t.end]) for t in turns if t.role == "assistant")
-        sha = hashlib.sha256()
-        for t in turns:
-            sha.update(f"{t.role}\n{t.text}\n".encode())
-        return len(turns), sha.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(line)
+    if output == "digests":
+        return digests(conversations)
+    if output != "text":
+        raise ValueError(f"unknown output {output}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+        turn = pa.struct([("role", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
         for batch in batches:
             found = [format_conversation([(t["role"], t["text"]) for t in turns]) for turns in batch.column(1).to_pylist()]
-            if output == "digests":
-                rows = [digests(*x) for x in found]
-                columns = [pa.array([r[k] for r in rows], pa.string() if k in (1, 3) else pa.int64()) for k in range(5)]
-                names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            else:
-                span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-                turn = pa.struct([("role", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-                columns = [
-                    pa.array([x[0] for x in found], pa.string()),
-                    pa.array([[vars(t) for t in x[1]] for x in found], pa.list_(turn)),
-                    pa.array([[{"start": t.start, "end": t.end} for t in x[1] if t.role == "assistant"] for x in found], pa.list_(span)),
-                ]
-                names = ["formatted", "turns", "loss_spans"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["conv_id", *names])
-
-    return map_batches(grouped(conversations), run, f"conv_id {kind}, {schema}")
+            columns = [
+                pa.array([x[0] for x in found], pa.string()),
+                pa.array([[vars(t) for t in x[1]] for x in found], pa.list_(turn)),
+                pa.array([[{"start": t.start, "end": t.end} for t in x[1] if t.role == "assistant"] for x in found], pa.list_(span)),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["conv_id", "formatted", "turns", "loss_spans"])
+
+    schema = "formatted string, turns array<struct<role:string,text:string,start:int,end:int>>, loss_spans array<struct<start:int,end:int>>"
+    return map_batches(grouped(conversations), run, f"conv_id {id_type(conversations, 'conv_id')}, {schema}")

@@ -45,6 +45,20 @@ def test_chat_table(spark):
     assert chat.formatted(df.limit(0)).count() == 0
 
 
+def test_chat_digests_against_whole_conversations(spark):
+    """One conversation holds a third of all rows and spans several batches; each is formatted whole for comparison."""
+    r = random.Random(11)
+    parts = [*HARD, *chat.CONTROLS, "\\ ", "word "]
+    rows = [(0 if k % 3 == 0 else r.randint(1, 400), k, r.choice(["user", "assistant", "system", "tool [=]", ""]), "".join(r.choice(parts) for _ in range(r.randint(0, 4)))) for k in range(9000)]
+    got = {x["conv_id"]: tuple(x)[1:] for x in chat.formatted(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for conv in {x[0] for x in rows}:
+        turns = [(role, text) for c, _, role, text in rows if c == conv]
+        loss = "".join(text for role, text in turns if role == "assistant")
+        assert got.pop(conv) == (len(turns), sha("".join(f"{a}\n{b}\n" for a, b in turns)), len(loss), sha(loss), len(chat.format_conversation(turns)[0]))
+    assert not got
+
+
 def slow_hits(text, items):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     w, hit, names = split(text), set(), set()
