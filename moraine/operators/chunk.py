@@ -58,9 +58,12 @@ def emitted(distinct: DataFrame, previous: DataFrame) -> DataFrame:
 
 def reassembled(found: DataFrame, key: str) -> DataFrame:
     """(key, n_blocks, content) from (key, block, data), in block order."""
-    parts = F.array_sort(F.collect_list(F.struct("block", "data")))
-    joined = F.aggregate(parts, F.lit(b"").cast("binary"), lambda s, p: F.concat(s, p["data"]))
-    return found.groupBy(key).agg(F.count("*").alias("n_blocks"), joined.alias("content"))
+    return found.groupBy(key).agg(F.count("*").alias("n_blocks"), joined("data", "block").alias("content"))
+
+
+def joined(data: str, order: str) -> Column:
+    """An aggregate that joins byte strings in order and passes over nulls; it copies each byte once."""
+    return F.coalesce(F.expr(f"listagg(`{data}`) WITHIN GROUP (ORDER BY `{order}`)"), F.lit(b"").cast("binary"))
 
 
 def hardlinks(files: DataFrame, identity: list[str], order: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.functions import globs
-from moraine.functions.hashing import digest, hexed
+from moraine.functions.hashing import digest, hexed, set_digest
 from moraine.operators import chunk, diff, gc, retention, tree
 from moraine.operators.index import IndexTables
 
@@ -95,10 +95,8 @@ class Repository:
         fresh.write.mode("append").parquet(f"{self.path}/objects")
         nodes.write.parquet(f"{self.path}/nodes/snapshot={snapshot}")
         stored = self.nodes(snapshot)
-        # The root covers every path and digest, so it changes with any of them. Partial digests by directory keep one task's list to a directory.
-        each = stored.select(F.regexp_replace(F.col("path"), "[^/]*/?$", "").alias("dir"), F.concat_ws(" ", "path", F.col("mode").cast("string"), "digest").alias("line"))
-        by_dir = each.groupBy("dir").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("d"))
-        root = by_dir.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "dir", "d"))), "\n"), 256)).first()[0]
+        # The root covers every path, mode and digest, so it changes with any of them.
+        root = stored.agg(set_digest(F.concat_ws(" ", "path", F.col("mode").cast("string"), "digest"))).first()[0]
         meta = spark.createDataFrame([(int(started), int(started % 1 * 1e9))], "sec bigint, nsec int")
         ids = stored.select(F.explode("blocks").alias("h")).distinct().select(F.unhex("h").alias("clear_hash"), F.unhex("h").alias("blob_id"))
         deps = stored.where("blocks is not null").select(F.lit(self.config.label).alias("dev_label"), F.abs(F.xxhash64("path")).cast("decimal(20,0)").alias("ino"), F.posexplode("blocks").alias("block", "h")).select("dev_label", "ino", "block", F.unhex("h").alias("clear_hash"))
@@ -128,8 +126,7 @@ class Repository:
         asked = nodes.where("blocks is not null").select("path", F.posexplode("blocks").alias("block", "id"))
         mark = hexed(chunk.block_digest(F.col("content"), self.config.digest))
         got = asked.join(self.objects(), "id", "left").withColumn("ok", F.coalesce(mark == F.col("id"), F.lit(False)))
-        parts = F.array_sort(F.collect_list(F.struct("block", F.col("content").alias("data"))))
-        joined = got.groupBy("path").agg(F.aggregate(parts, F.lit(b"").cast("binary"), lambda s, p: F.concat(s, F.coalesce(p["data"], F.lit(b"").cast("binary")))).alias("joined"), F.bool_and("ok").alias("ok"))
+        joined = got.groupBy("path").agg(chunk.joined("content", "block").alias("joined"), F.bool_and("ok").alias("ok"))
         return nodes.join(joined, "path", "left").select("path", "kind", "mode", "uid", "gid", "mtim", "target", F.coalesce("joined", "inline").alias("content"), F.coalesce("ok", F.lit(True)).alias("is_intact"))
 
     def prune(self, keep: list[str] | None = None, invert: bool = False) -> DataFrame:

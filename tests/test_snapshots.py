@@ -117,6 +117,19 @@ def test_block_sizes(spark):
         chunk.content_size(3999)
 
 
+def test_blocks_join_in_order(spark):
+    rows = [(1, k, bytes([k % 251]) * 100) for k in range(3000)] + [(2, 1, None), (2, 0, b"a"), (3, 0, None)]
+    random.Random(1).shuffle(rows)
+    got = {r["key"]: (r["n_blocks"], bytes(r["content"])) for r in chunk.reassembled(spark.createDataFrame(rows, "key int, block bigint, data binary").repartition(4), "key").collect()}
+    assert got == {1: (3000, b"".join(bytes([k % 251]) * 100 for k in range(3000))), 2: (2, b"a"), 3: (1, b"")}
+
+
+def test_set_digest(spark):
+    mark = lambda rows: spark.createDataFrame([(x,) for x in rows], "line string").repartition(3).agg(hashing.set_digest(F.col("line"))).first()[0]
+    assert mark(["a", "b", "b"]) == mark(["b", "a", "b"])
+    assert len({mark(x) for x in (["a", "b"], ["a", "b", "b"], ["a", "c"], ["ab"], [])}) == 5
+
+
 def test_inode_records(spark):
     time = lambda s, n: {"sec": s, "nsec": n}
     rows = [
