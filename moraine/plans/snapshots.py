@@ -131,10 +131,13 @@ class Repository:
 
     def prune(self, keep: list[str] | None = None, invert: bool = False) -> DataFrame:
         """ids of objects that no snapshot (or none of those to keep) reaches; with invert, of those that are needed. Nothing is deleted."""
-        names = keep if keep is not None else [r["id"] for r in self.snapshots().select("id").collect()]
-        live = [self.nodes(n).select(F.explode("blocks").alias("id")) for n in names] or [self.objects().select("id").limit(0)]
-        ids = self.objects().select("id")
-        return ids.join(gc.garbage(ids, live), "id", "left_anti") if invert else gc.garbage(ids, live)
+        nodes = self._table("nodes", f"{NODES}, snapshot string")
+        if keep is None:
+            nodes = nodes.join(self.snapshots().select(F.col("id").alias("snapshot")), "snapshot", "left_semi")
+        else:
+            nodes = nodes.where(F.col("snapshot").isin(keep))
+        live, ids = nodes.select(F.explode("blocks").alias("id")), self.objects().select("id")
+        return ids.join(live, "id", "left_semi") if invert else gc.garbage(ids, [live])
 
     def cull(self, rules: dict[str, int] | None = None, by_label: bool = False, invert: bool = False) -> DataFrame:
         """Snapshots that the policy would delete; with invert, those that it keeps."""
