@@ -42,7 +42,7 @@ OTHERS = [
     "the warranty covers parts and labour for two years", "the software is free to try for thirty days", "a public library near the general hospital", "the terms of the contract are subject to change", "he works at mit in cambridge",
     "the apache helicopter flew over the valley", "the commission granted a fishing license to the village", "redistribution of wealth was the subject of the debate", "proprietary license do not distribute", "licensed under terms to be agreed",
 ]
-#: A paragraph without one of these cannot share a template's cue (see _cue_pairs), so it is not scored.
+#: Every template holds one of these; a paragraph without any is not scored and has no licence.
 CUE = r"(?i)licen|copyright|redistribut|permission|public domain|cc0|spdx|creative commons"
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 BUCKETS = 4096
