@@ -1,8 +1,9 @@
 """Licence scans: a trained paragraph classifier in DataFrame expressions.
 
-A paragraph is a line of a document. Its distinct word 1- and 2-grams are hashed into buckets, and a multinomial
+Lines and runs of lines between blank ones (those without a word) are scored, so that a notice may be wrapped at any width; of the
+confirmed runs that share lines, the one that holds most of a template stands. A run's distinct word 1- and 2-grams are hashed into buckets, and a multinomial
 logistic regression gives the probabilities of licence families and of an unknown class; a temperature
-fitted on paragraphs that were not trained on calibrates them. A prediction stands if the paragraph
+fitted on paragraphs that were not trained on calibrates them. A prediction stands if the run
 also shares enough word pairs with one of the family's templates. Training takes labelled paragraphs made
 from the templates and runs once on the driver; scoring is one projection without a shuffle or Python.
 """
@@ -44,6 +45,8 @@ OTHERS = [
 ]
 #: Every template holds one of these; a paragraph without any is not scored and has no licence.
 CUE = r"(?i)licen|copyright|redistribut|permission|public domain|cc0|spdx|creative commons"
+#: Comment marks of letters; all others are no words.
+MARK = r"^(?:\s*(?:dnl|rem)|c)(?=\s)"
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 BUCKETS = 4096
 #: Paragraphs made for each family, for training and for calibration.
@@ -52,6 +55,9 @@ EPOCHS, RATE, RIDGE, SEED = 80, 0.5, 1e-3, 11
 #: Least probability of a family, and least share of a template's word pairs that a paragraph must hold.
 LEAST, SHARE = 0.5, 0.6
 
+#: Words that the inner lines of a run hold at most: a notice as long as the longest template, and as many words put in.
+REACH = 2 * max(len(re.findall(WORD, t)) for found in TEMPLATES.values() for t in found)
+
 
 def words(text: str) -> list[str]:
     return re.findall(WORD, text.lower())
@@ -142,34 +148,102 @@ def _array(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), kind)
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once for each row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _windows(lines: Column) -> Column:
+    """Arrays, by first line, of (line, last, w): runs of lines of one paragraph near a cue, with their words.
+
+    A run's inner lines hold REACH words at most. A cue may run over to the next line.
+    """
+    hits = F.transform(lines, lambda line, k: F.lower(F.concat_ws(" ", line, F.get(lines, k + 1))).rlike(CUE))
+    worded = F.transform(lines, lambda line: F.regexp_extract_all(F.regexp_replace(F.lower(line), MARK, ""), F.lit(WORD), F.lit(0)))
+
+    def last(counts: Column, k: Column) -> Column:
+        """The last line of the longest run from line k."""
+        start = F.struct(k.alias("at"), F.lit(0).alias("inner"), F.lit(True).alias("open"))
+        step = lambda s, n: F.when(
+            s["open"] & (n > 0), F.struct((s["at"] + 1).alias("at"), (s["inner"] + n).alias("inner"), (s["inner"] + n <= REACH).alias("open"))
+        ).otherwise(F.struct(s["at"].alias("at"), s["inner"].alias("inner"), F.lit(False).alias("open")))
+        return F.aggregate(F.slice(counts, k + 2, F.lit(REACH + 1)), start, step)["at"]
+
+    def runs(hit: Column, w: Column) -> Column:
+        near = lambda i, j: F.exists(F.slice(hit, i + 1, j - i + 1), lambda h: h)
+        starts = F.filter(F.transform(w, lambda x, k: F.when(F.size(x) > 0, k)), lambda k: k.isNotNull() & near(k, k + REACH + 1))
+        words = lambda i, j: F.flatten(F.slice(w, i + 1, j - i + 1))
+        ends = lambda counts: F.transform(starts, lambda i: F.transform(F.sequence(i, last(counts, i)), lambda j: F.struct(i.alias("line"), j.alias("last"))))
+        found = _let(F.transform(w, F.size), ends)
+        return F.transform(found, lambda group: F.transform(
+            F.filter(group, lambda p: near(p["line"], p["last"])), lambda p: F.struct(p["line"].alias("line"), p["last"].alias("last"), words(p["line"], p["last"]).alias("w")),
+        ))
+
+    return _let(hits, lambda hit: _let(worded, lambda w: runs(hit, w)))
+
+
+def _picked(groups: Column) -> Column:
+    """The runs that stand, in order: the one with the highest share, then of the fewest lines, most probable, first; then the next that shares no line with one that stands."""
+    inside = lambda p, q: (q["line"] >= p["line"]) & (q["last"] <= p["last"]) & (q["last"] - q["line"] < p["last"] - p["line"])
+    meets = lambda p, q: (q["line"] <= p["last"]) & (q["last"] >= p["line"])
+    # A run with a shorter one inside that shares as much never stands; that one begins in the next REACH + 1 lines at most.
+    least = lambda found: F.transform(found, lambda group, g: F.filter(
+        group, lambda p: ~F.exists(F.slice(found, g + 1, F.lit(REACH + 2)), lambda other: F.exists(other, lambda q: inside(p, q) & (q["share"] >= p["share"]))),
+    ))
+
+    def stand(found: Column) -> Column:
+        ranked = F.array_sort(F.transform(found, lambda p: F.struct((-p["share"]).alias("a"), (p["last"] - p["line"]).alias("b"), (-p["probability"]).alias("c"), p["line"].alias("d"), p.alias("p"))))
+        empty = F.filter(found, lambda p: F.lit(False))
+        return F.aggregate(ranked, empty, lambda s, r: F.when(F.exists(s, lambda q: meets(r["p"], q)), s).otherwise(F.concat(s, F.array(r["p"]))))
+
+    def chosen(found: Column) -> Column:
+        """Runs that meet no other stand; only the others are compared, as that takes the square of their number."""
+        around = lambda g: F.flatten(F.slice(found, F.greatest(g - REACH - 1, F.lit(0)) + 1, F.lit(2 * REACH + 3)))
+        marked = F.flatten(F.transform(found, lambda group, g: F.transform(group, lambda p: F.struct(p.alias("p"), (F.size(F.filter(around(g), lambda q: meets(p, q))) > 1).alias("met")))))
+        part = lambda rows, met: F.transform(F.filter(rows, lambda r: r["met"] == F.lit(met)), lambda r: r["p"])
+        return F.array_sort(_let(marked, lambda rows: F.concat(part(rows, False), _let(part(rows, True), stand))))
+
+    solid = lambda found: F.filter(found, lambda group: F.size(group) > 0)
+    return _let(_let(solid(groups), least), lambda found: chosen(found))
+
+
 def paragraphs(text: Column, model: Model) -> Column:
-    """Array of (line, family, probability) of the confirmed licence paragraphs of a text."""
+    """Array of (line, family, probability) of the confirmed licence notices of a text."""
     weights, bias = _array(model.weights.tolist(), "array<array<double>>"), _array(model.bias.tolist(), "array<double>")
     templates = _array([[pairs(words(t)) for t in TEMPLATES[f]] for f in FAMILIES], "array<array<array<string>>>")
     families = F.array(*map(F.lit, FAMILIES))
-    lines = F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
-    cued = F.filter(F.transform(lines, lambda line, k: F.struct(k.alias("line"), line.alias("text"))), lambda p: p["text"].rlike(CUE))
-    worded = F.transform(cued, lambda p: F.struct(p["line"].alias("line"), F.regexp_extract_all(F.lower(p["text"]), F.lit(WORD), F.lit(0)).alias("w")))
     two = lambda w: F.array_distinct(F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda b, k: F.concat_ws(" ", F.get(w, k), b)))
-    paired = F.transform(worded, lambda p: F.struct(p["line"].alias("line"), F.array_distinct(p["w"]).alias("w"), two(p["w"]).alias("pairs")))
+    keep = lambda p, *more: F.struct(p["line"].alias("line"), p["last"].alias("last"), *more)
+    share = lambda p, t: F.size(F.array_intersect(p["pairs"], t)) / F.size(t)
+    holds = lambda p, t: F.size(F.array_intersect(p["pairs"], t)) >= SHARE * F.size(t)
 
     def scores(p: Column) -> Column:
-        hashed = F.array_distinct(F.transform(F.concat(p["w"], p["pairs"]), lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int")))
+        hashed = F.array_distinct(F.transform(F.concat(F.array_distinct(p["w"]), p["pairs"]), lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int")))
         return F.aggregate(hashed, bias, lambda s, k: F.zip_with(s, F.get(weights, k), lambda a, b: a + b))
 
-    scored = F.transform(paired, lambda p: F.struct(p["line"].alias("line"), p["pairs"].alias("pairs"), scores(p).alias("z")))
-    best = F.transform(scored, lambda p: F.struct(
-        p["line"].alias("line"), p["pairs"].alias("pairs"), (F.array_position(p["z"], F.array_max(p["z"])) - 1).cast("int").alias("k"),
-        (1 / F.aggregate(p["z"], F.lit(0.0), lambda s, z: s + F.exp(z - F.array_max(p["z"])))).alias("probability"),
-    ))
-    known = F.filter(best, lambda p: (p["k"] < len(FAMILIES)) & (p["probability"] >= LEAST))
-    holds = lambda p, t: F.size(F.array_intersect(p["pairs"], t)) >= SHARE * F.size(t)
-    confirmed = F.filter(known, lambda p: F.exists(F.get(templates, p["k"]), lambda t: holds(p, t)))
-    return F.transform(confirmed, lambda p: F.struct(p["line"].alias("line"), F.get(families, p["k"]).alias("family"), p["probability"].alias("probability")))
+    def confirmed(group: Column) -> Column:
+        paired = F.transform(group, lambda p: keep(p, p["w"].alias("w"), two(p["w"]).alias("pairs")))
+        # What holds enough of no template would be dropped in the end; it is not scored.
+        likely = F.filter(paired, lambda p: F.exists(templates, lambda family: F.exists(family, lambda t: holds(p, t))))
+        scored = F.transform(likely, lambda p: keep(p, p["pairs"].alias("pairs"), scores(p).alias("z")))
+        best = F.transform(scored, lambda p: keep(
+            p, p["pairs"].alias("pairs"), (F.array_position(p["z"], F.array_max(p["z"])) - 1).cast("int").alias("k"),
+            (1 / F.aggregate(p["z"], F.lit(0.0), lambda s, z: s + F.exp(z - F.array_max(p["z"])))).alias("probability"),
+        ))
+        known = F.filter(best, lambda p: (p["k"] < len(FAMILIES)) & (p["probability"] >= LEAST))
+        sure = F.filter(known, lambda p: F.exists(F.get(templates, p["k"]), lambda t: holds(p, t)))
+        return F.transform(sure, lambda p: keep(p, p["k"].alias("k"), p["probability"].alias("probability"), F.array_max(F.transform(F.get(templates, p["k"]), lambda t: share(p, t))).alias("share")))
+
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    found = _let(F.split(whole, "\n", -1), lambda lines: _picked(F.transform(_windows(lines), confirmed)))
+    named = F.transform(found, lambda p: F.struct(p["line"].alias("line"), F.get(families, p["k"]).alias("family"), p["probability"].alias("probability")))
+    # A cue may be split by a line end.
+    cued = F.lower(F.translate(whole, "\n", " ")).rlike(CUE)
+    return F.when(cued, named).otherwise(F.filter(F.array(F.struct(F.lit(0).alias("line"), F.lit("").alias("family"), F.lit(0.0).alias("probability"))), lambda p: F.lit(False)))
 
 
 def scanned(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, families (in order), n_paragraphs, probability (the highest), found (line, family, probability) for each document.
+    """doc_id, families (in order), n_paragraphs, probability (the highest), found (first line, family, probability) for each document.
 
     A document without a confirmed licence has no families and a null probability; so have null and empty
     texts. Ties between classes go to the first in alphabetical order. Null ids and repeated rows keep
