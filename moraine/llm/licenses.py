@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 import random
 import re
 from dataclasses import dataclass
@@ -43,8 +44,6 @@ OTHERS = [
     "the warranty covers parts and labour for two years", "the software is free to try for thirty days", "a public library near the general hospital", "the terms of the contract are subject to change", "he works at mit in cambridge",
     "the apache helicopter flew over the valley", "the commission granted a fishing license to the village", "redistribution of wealth was the subject of the debate", "proprietary license do not distribute", "licensed under terms to be agreed",
 ]
-#: Every template holds one of these; a paragraph without any is not scored and has no licence.
-CUE = r"(?i)licen|copyright|redistribut|permission|public domain|cc0|spdx|creative commons"
 #: Comment marks of letters; all others are no words.
 MARK = r"^(?:\s*(?:dnl|rem)|c)(?=\s)"
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -54,6 +53,8 @@ MADE, HELD = 80, 40
 EPOCHS, RATE, RIDGE, SEED = 80, 0.5, 1e-3, 11
 #: Least probability of a family, and least share of a template's word pairs that a paragraph must hold.
 LEAST, SHARE = 0.5, 0.6
+#: Words that are frequent in any English text; they only decide which pairs CUE is made of.
+COMMON = frozenset("a all and any are as be by following for free in is it may must not of on only or that the this to under use version with you".split())
 
 #: Words that the inner lines of a run hold at most: a notice as long as the longest template, and as many words put in.
 REACH = 2 * max(len(re.findall(WORD, t)) for found in TEMPLATES.values() for t in found)
@@ -143,6 +144,29 @@ def pairs(found: list[str]) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(found, found[1:])})
 
 
+def _cue() -> str:
+    """A pattern for one of the word pairs without which no text holds SHARE of any template.
+
+    A text that holds SHARE of a template's pairs lacks the others at most, so it holds one of any set that is larger by one.
+    The sets are made of pairs that serve other templates or hold no common word, so that few texts match.
+    """
+    chosen: set[str] = set()
+    for of in sorted((pairs(words(t)) for found in TEMPLATES.values() for t in found), key=len):
+        lacks = len(of) - math.ceil(SHARE * len(of))
+        rank = sorted(of, key=lambda p: (p not in chosen, sum(w in COMMON for w in p.split()), p))
+        chosen.update(rank[: lacks + 1])
+    follows: dict[str, list[str]] = {}
+    for first, second in map(str.split, sorted(chosen)):
+        follows.setdefault(first, []).append(re.escape(second))
+    starts = "".join(sorted({first[0] for first in follows}))
+    branches = "|".join(rf"{re.escape(first)}[^a-z0-9]++(?:(?:dnl|rem|c)[^a-z0-9]++)?(?:{'|'.join(seconds)})" for first, seconds in follows.items())
+    return rf"(?i)(?<![a-z0-9])(?=[{starts}])(?:{branches})(?![a-z0-9])"
+
+
+#: A text without this would be confirmed by no template, so it is not scored.
+CUE = _cue()
+
+
 def _array(values: list, kind: str) -> Column:
     """A constant, parsed once when the plan is optimised."""
     return F.from_json(F.lit(json.dumps(values)), kind)

@@ -1,4 +1,6 @@
-"""Licence notices that are wrapped."""
+"""Licence notices that are wrapped, and notices without the usual cues."""
+
+import random
 
 from moraine.llm import licenses
 
@@ -25,3 +27,42 @@ def test_wrapped_headers(spark):
     assert [got[k] for k in range(5)] == [[(2 * (f == "gpl"), f)] for f in HEADERS]
     assert [got[k] for k in (5, 6, 7)] == [[(0, "gpl")]] * 3 and got[8] == []
     assert got[9] == [(0, "mit"), (1, "isc"), (3, "mit")]
+
+
+def slow_runs(text, model):
+    """All runs of lines of a paragraph, each scored whatever it holds."""
+    w = [licenses.words(licenses.re.sub(licenses.MARK, "", line.lower())) for line in text.split("\n")]
+    sure = []
+    for i in range(len(w)):
+        for j in range(i, len(w)):
+            if not w[j] or sum(map(len, w[i + 1 : j])) > licenses.REACH:
+                break
+            joined = sum(w[i : j + 1], [])
+            p = model.probabilities(" ".join(joined))
+            best, mine = int(p.argmax()), set(licenses.pairs(joined))
+            if best < len(licenses.FAMILIES) and p[best] >= licenses.LEAST:
+                of = [licenses.pairs(licenses.words(t)) for t in licenses.TEMPLATES[licenses.FAMILIES[best]]]
+                if any(len(mine & set(t)) >= licenses.SHARE * len(t) for t in of):
+                    sure.append((-max(len(mine & set(t)) / len(t) for t in of), j - i, -float(p[best]), i, j, licenses.FAMILIES[best]))
+    stand = []
+    for run in sorted(sure):
+        if all(run[4] < s[3] or run[3] > s[4] for s in stand):
+            stand.append(run)
+    return sorted((s[3], s[5], round(-s[2], 4)) for s in stand)
+
+
+def test_runs_against_all_runs(spark):
+    r, every = random.Random(3), [t for of in licenses.TEMPLATES.values() for t in of]
+    texts = ["Released under the MIT.\n\nReleased under CC BY 4.0.", "Released under the ISC.", *HEADERS.values()]
+    for _ in range(60):
+        words = []
+        for _ in range(r.randint(1, 4)):
+            words += r.choices(["la", "casa", "the", "of", "under", "software"], k=r.choice((0, 1, 5, 20)))
+            words += [w for w in r.choice(every).split() if r.random() > r.choice((0, 0.1, 0.3))]
+        ends = r.choice(((" ",) * 9 + ("\n",), (" ", " ", "\n", "\n\n"), (" ", "\n"), ("\n", "\ndnl ", "\n * ")))
+        texts.append("".join(w + r.choice(ends) for w in words))
+    model = licenses.default_model()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x["doc_id"]: [(p["line"], p["family"], round(p["probability"], 4)) for p in x["found"]] for x in licenses.scanned(docs).collect()}
+    assert [p[:2] for p in got[0]] == [(0, "mit"), (2, "cc-by")] and [p[:2] for p in got[1]] == [(0, "isc")]
+    assert got == {k: slow_runs(t, model) for k, t in enumerate(texts)}
