@@ -37,9 +37,9 @@ def without(text: str, covered: list[int] | None) -> tuple[str, int, int]:
     return "\n".join(kept), len(every), len(every) - len(kept)
 
 
-def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(rid, doc_id, at, hash): each window's row number, id, place among its document's solid lines, and MD5."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", line_array(F.col("text")).alias("all_lines"))
+def windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(rid, doc_id, at, hash) of numbered rows: each window's row number, id, place among its document's solid lines, and MD5."""
+    rows = rows.select("rid", "doc_id", line_array(F.col("text")).alias("all_lines"))
     rows = rows.select("rid", "doc_id", F.filter("all_lines", lambda line: F.translate(line, WHITE, "") != "").alias("lines")).where(F.size("lines") >= window)
     hashes = F.transform(F.sequence(F.lit(1), F.size("lines") - (window - 1)), lambda k: F.unhex(F.md5(F.array_join(F.slice("lines", k, window), "\n"))))
     return rows.select("rid", "doc_id", F.posexplode(hashes).alias("at", "hash"))
@@ -60,14 +60,15 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Occurrences are ordered by doc_id (nulls last), row and position, in one document or several;
     of rows that are repeated whole, the first keeps its lines. A null text gives an empty clean_text, one
     line and nothing removed. Texts with fewer solid lines than a window are left alone. Other columns are
-    ignored; an empty table gives an empty table. The rows are numbered by the scan, so docs must read the
-    same twice, as files do.
+    ignored; an empty table gives an empty table. The rows are numbered once and staged with their numbers, so
+    docs may read in another order each time.
     """
-    found = staged(windows(docs, window), "windows")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    numbered = staged(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.alias("text")), "numbered")
+    found = staged(windows(numbered, window), "windows")
     covered = repeats(found).groupBy("rid").agg(F.collect_set("at").alias("at"))
     covered = covered.select("rid", F.array_distinct(F.flatten(F.transform("at", lambda k: F.sequence(k, k + (window - 1))))).alias("covered"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.alias("text")).join(staged(covered, "covered").hint("merge"), "rid", "left")
+    rows = numbered.join(staged(covered, "covered").hint("merge"), "rid", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

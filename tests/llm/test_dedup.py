@@ -182,3 +182,26 @@ def test_lines(spark, odd, none, tmp_path):
     got = [(str(x["doc_id"]), x["clean_text"], x["n_lines"], x["n_removed"]) for x in lines.deduplicated(docs).collect()]
     assert sorted(got) == slow_lines([(x["doc_id"], x["text"]) for x in docs.collect()])
     assert lines.deduplicated(odd).count() == odd.count() and lines.deduplicated(none).count() == 0
+
+
+def test_lines_of_files_that_are_split_otherwise_later(spark, tmp_path, monkeypatch):
+    same = "\n".join(f"same {k}" for k in range(4))
+    rows = [(k, f"own {k} a\nown {k} b\n{same}" if k % 2 else "\n".join(f"own {k} {n}" for n in range(6))) for k in range(24)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6).write.parquet(f"{tmp_path}/lines")
+    docs, first, staged = spark.read.parquet(f"{tmp_path}/lines"), {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}, lines.staged
+
+    def split_otherwise(df, *more):
+        out = staged(df, *more)
+        for key in first:
+            spark.conf.unset(key)
+        return out
+
+    monkeypatch.setattr(lines, "staged", split_otherwise)
+    try:
+        for key, value in first.items():
+            spark.conf.set(key, value)
+        got = [(str(x["doc_id"]), x["clean_text"], x["n_lines"], x["n_removed"]) for x in lines.deduplicated(docs).collect()]
+    finally:
+        for key in first:
+            spark.conf.unset(key)
+    assert sorted(got) == slow_lines(rows)
