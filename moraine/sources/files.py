@@ -58,12 +58,12 @@ class InodeReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         parts = [Subtree(self.root, False)]
         for top in sorted(os.scandir(self.root), key=lambda e: e.name):
-            parts.append(Subtree(top.path, not top.is_dir(follow_symlinks=False)))
-            if top.is_dir(follow_symlinks=False):
-                try:
-                    parts += [Subtree(e.path, True) for e in sorted(os.scandir(top.path), key=lambda e: e.name)]
-                except OSError:
-                    pass
+            try:
+                inside = sorted(e.path for e in os.scandir(top.path)) if top.is_dir(follow_symlinks=False) else None
+            except OSError:  # the task that walks it yields the error
+                inside = None
+            parts.append(Subtree(top.path, inside is None))
+            parts += [Subtree(path, True) for path in inside or ()]
         return parts
 
     def read(self, part: Subtree) -> Iterator[tuple]:
@@ -71,12 +71,12 @@ class InodeReader(DataSourceReader):
         while waiting:
             path = waiting.pop()
             row = entry(self.root, path)
-            yield row
             if part.deep and row[2] == "dir":
                 try:
                     waiting += sorted((e.path for e in os.scandir(path)), reverse=True)
                 except OSError as e:
-                    yield (row[0], row[1], "dir", *row[3:13], str(e))
+                    row = (*row[:13], str(e))
+            yield row
 
 
 class InodeSource(DataSource):
