@@ -29,7 +29,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup; that of the first ones is no text either (fixed values).
-UNSEEN, RAW = frozenset("script style noscript template iframe svg math object canvas audio video".split()), frozenset("script style title textarea iframe noscript".split())
+UNSEEN, RAW = frozenset("script style template".split()), frozenset("script style title textarea".split())
 #: A start tag of one of these ends an open p; li, dt, dd, tr, td, th and option end their like (fixed values).
 ENDS_P = BLOCKS - frozenset("button caption dd dt html body head td th tr tbody thead tfoot li option legend summary iframe select title".split())
 LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -37,8 +37,6 @@ HOLDS_LIKE = frozenset("ul ol menu dl table select".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+))""")
 WORD = re.compile(r"[a-z]+")
-#: Ancestors that a block's features tell of, from the innermost.
-ANCESTORS = 12
 #: Labelled pages to train on, passes over them, step and ridge.
 PAGES, EPOCHS, RATE, RIDGE, SEED = 300, 8, 0.2, 1e-3, 7
 
@@ -154,7 +152,7 @@ def blocks(page: str | None) -> list[Block]:
 def structure(tags: tuple[str, ...], words: frozenset[str]) -> list[str]:
     """Features of where a block stands."""
     names = [f"own:{tags[-1] if tags else ''}"] + [f"pair:{a}>{c}" for a, c in zip(tags[-3:], tags[-2:])]
-    return names + [f"in:{t}" for t in dict.fromkeys(tags[-ANCESTORS:])] + [f"word:{w}" for w in words]
+    return names + [f"in:{t}" for t in dict.fromkeys(tags)] + [f"word:{w}" for w in words]
 
 
 def surface(found: list[Block], k: int) -> list[str]:
