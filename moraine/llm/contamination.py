@@ -6,16 +6,18 @@ its tokens (delta coded), and the documents' places. Every token of every docume
 of different documents lie GAP apart, so no match runs from one into another. Segments are bounded
 whatever the corpus holds, so the list of a frequent word is never gathered in one place.
 
-Search: the benchmark's windows (its size is checked; a larger one is taken block by block) are
-broadcast. In each segment a window starts from the posting list of its rarest term there; the list is
-shifted by the term's offset and intersected with the shifted lists of the other terms from rare to
-frequent, until it is empty or holds the starts of the matches: exact ones, and near ones in which each
-term is off its place by `slop` at most.
+Search: the benchmark's windows are sent as arrays of BLOCK_BYTES, about, in a block; a larger
+benchmark is taken block by block. In each segment a window starts from the posting list of its rarest
+term there, shifted by the term's offset, and the starts are intersected with the lists of the other
+terms, from rare to frequent, for many windows at once.
+
+An exact match of a window is a start from which each term stands in its own place; a near match is a
+start (it may lie up to `slop` outside the text) from which each term stands within `slop` of its place.
+Both are properties of the text alone, so they do not depend on segments, blocks or frequencies.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,8 +33,10 @@ SLOP = 1
 SEGMENT_TOKENS = 400_000
 #: Positions between documents; more than a window and its slop on both sides.
 GAP = 64
-#: Benchmark text of one broadcast block at most.
-BLOCK_BYTES = 16 << 20
+#: Bytes of the window numbers of one broadcast block, about (terms, items and the index of terms take as much again), and windows of the piece of an item that goes to one block.
+BLOCK_BYTES, PIECE_WINDOWS = 8 << 20, 1 << 12
+#: Candidate starts that are looked at in one numpy step.
+CANDIDATES = 1 << 20
 #: Bytes by value: A-Z as a-z; digits, a-z and all of multi-byte characters as they are; others end a word.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -44,26 +48,54 @@ def words(text: str | None) -> list[bytes]:
 
 @dataclass
 class Benchmark:
-    """Distinct windows of a block of items, as rows of term numbers."""
+    """Distinct windows of a block of items, as rows of term numbers, with the items of each."""
 
     window: int = WINDOW
     terms: dict[bytes, int] = field(default_factory=dict)
-    windows: dict[tuple[int, ...], list[str]] = field(default_factory=dict)
+    windows: dict[bytes, list[int]] = field(default_factory=dict)  # term numbers as bytes: place in names
+    names: dict[str, int] = field(default_factory=dict)
 
-    def add(self, item_id: object, text: str | None) -> None:
-        found = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
-        name = "" if item_id is None else str(item_id)
+    def add(self, item_id: object, found: list[bytes]) -> None:
+        coded = np.array([self.terms.setdefault(w, len(self.terms)) for w in found], np.int32)
+        name = self.names.setdefault("" if item_id is None else str(item_id), len(self.names))
         for at in range(max(1, len(found) - self.window + 1) if found else 0):
-            items = self.windows.setdefault(tuple(found[at : at + self.window]), [])
+            items = self.windows.setdefault(coded[at : at + self.window].tobytes(), [])
             if name not in items:
                 items.append(name)
 
-    def table(self) -> np.ndarray:
-        """The windows, one a row, short ones filled with -1."""
-        out = np.full((len(self.windows), self.window), -1, np.int64)
-        for row, window in zip(out, self.windows):
-            row[: len(window)] = window
-        return out
+    def packed(self) -> Packed:
+        table = np.full((len(self.windows), self.window), -1, np.int32)
+        for row, window in zip(table, self.windows):
+            terms = np.frombuffer(window, np.int32)
+            row[: len(terms)] = terms
+        ends = np.cumsum([len(x) for x in self.windows.values()], dtype=np.int64)
+        items = np.array([x for some in self.windows.values() for x in some], np.int32)
+        return Packed(b" ".join(self.terms), table, ends, items, list(self.names))
+
+
+@dataclass(frozen=True)
+class Packed:
+    """What is sent to the tasks: terms by number, windows one a row (short ones filled with -1), where the items of each end, items, and their names."""
+
+    terms: bytes
+    table: np.ndarray
+    ends: np.ndarray
+    items: np.ndarray
+    names: list[str]
+
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        starts = np.append(0, self.ends)
+        return sorted({self.names[i] for w in windows.tolist() for i in self.items[starts[w] : starts[w + 1]].tolist()})
+
+
+def pieces(benchmark: DataFrame, window: int = WINDOW, piece_windows: int = PIECE_WINDOWS) -> DataFrame:
+    """(item_id, piece, windows, found): items in pieces of piece_windows windows at most, which overlap by a window less one word."""
+    lower = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    each = benchmark.select("item_id", F.regexp_extract_all(lower, F.lit(r"([0-9a-z\x{80}-\x{10FFFF}]+)"), F.lit(1)).alias("found"))
+    n = F.greatest(F.size("found") - (window - 1), F.lit(1))
+    cut = each.where(F.size("found") > 0).select("item_id", "found", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(piece_windows))).alias("piece"))
+    windows = F.least(F.col("n") - F.col("piece"), F.lit(piece_windows))
+    return cut.select("item_id", "piece", windows.alias("windows"), F.slice("found", F.col("piece") + 1, windows + (window - 1)).alias("found"))
 
 
 SEGMENT = "segment string, terms binary, counts binary, deltas binary, doc_ids array<{kind}>, n_words array<int>"
@@ -115,98 +147,112 @@ def index(docs: DataFrame, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
     return staged(segments, "postings", "zstd")
 
 
-def _starts(lists: list[np.ndarray], offsets: list[int], slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of matches of a window and whether each is exact; lists: postings of its terms."""
-    order = np.argsort([len(x) for x in lists], kind="stable")
-    at = lists[order[0]] - offsets[order[0]]
-    exact = np.ones(len(at), bool)
-    for k in order[1:]:
-        place = at + offsets[k]
-        hit = _reach(lists[k], place, 0)
-        exact = exact & hit
-        close = _reach(lists[k], place, slop) if slop else hit
-        at, exact = at[close], exact[close]
-        if not len(at):
-            break
-    return at, exact
-
-
-def _reach(postings: np.ndarray, place: np.ndarray, slop: int) -> np.ndarray:
-    """Which of the places have a posting within slop."""
-    k = np.searchsorted(postings, place - slop)
-    found = k < len(postings)
-    found[found] = postings[k[found]] <= place[found] + slop
-    return found
-
-
-def search_segment(items: Benchmark, table: np.ndarray, terms: list[bytes], counts: np.ndarray, deltas: np.ndarray, n_words: np.ndarray, slop: int) -> tuple[np.ndarray, dict, dict]:
-    """For a segment: spans (start, length) of exact matches, and items of exact and of near matches by document number."""
+def search(table: np.ndarray, counts: np.ndarray, postings: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(window, start, exact) of all matches, some at a time. table: windows of term numbers whose lists, of counts[term] each, follow one another in postings."""
+    first = np.cumsum(counts) - counts
+    span = int(postings.max()) + 4 * GAP if len(postings) else GAP
+    # Terms and positions in one ascending array: a list is looked up by binary search within it.
+    keys = np.repeat(np.arange(len(counts)), counts) * span + postings
+    size = (table >= 0).sum(1)
+    rarity = np.where(table >= 0, counts[table], np.iinfo(np.int64).max)
+    order = np.argsort(rarity, axis=1, kind="stable")
+    rarest = rarity.min(1)
+    shifts = np.arange(-slop, slop + 1)
+    for rows in _portions(np.flatnonzero(rarest > 0), rarest * len(shifts), CANDIDATES):
+        at = order[rows, 0]
+        n = rarest[rows]
+        window = np.repeat(rows, n)
+        place = postings[np.repeat(first[table[rows, at]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] - np.repeat(at, n)
+        if slop:
+            # Each posting stands for the starts that it is within slop of.
+            place, window = (place[:, None] + shifts).ravel(), np.repeat(window, len(shifts))
+        exact = np.ones(len(window), bool)
+        for k in range(table.shape[1]):
+            # Windows of fewer terms are done; they stay as they are.
+            live = k < size[window]
+            offset = order[window, k]
+            wanted = np.where(live, table[window, offset], 0) * span + place + offset
+            found = np.searchsorted(keys, wanted - slop)
+            nearest = keys[np.minimum(found, len(keys) - 1)]
+            close = (found < len(keys)) & (nearest <= wanted + slop) | ~live
+            if slop:
+                same = np.searchsorted(keys, wanted)
+                exact &= (same < len(keys)) & (keys[np.minimum(same, len(keys) - 1)] == wanted) | ~live
+            window, place, exact = window[close], place[close], exact[close]
+            if not len(window):
+                break
+        if len(window):
+            # A start that two postings gave is one.
+            once = np.unique(window * span + place + GAP, return_index=True)[1]
+            yield window[once], place[once], exact[once]
+
+
+def _portions(rows: np.ndarray, weights: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """The rows in runs whose weights add up to about most."""
+    if len(rows):
+        yield from np.split(rows, np.flatnonzero(np.diff(np.cumsum(weights[rows]) // most)) + 1)
+
+
+def search_segment(items: Packed, numbers: dict[bytes, int], terms: list[bytes], counts: np.ndarray, deltas: np.ndarray, n_words: np.ndarray, slop: int) -> tuple[np.ndarray, dict, dict]:
+    """For a segment: spans (start, length) of exact matches, and by document number the windows that match exactly and those that match nearly."""
     ends = np.cumsum(counts)
-    known = np.zeros(len(items.terms) + 1, np.int64)  # the last is for fillers
-    known[-1] = np.iinfo(np.int64).max
-    at: dict[int, slice] = {}
+    local = np.full(len(numbers) + 1, len(terms), np.int64)  # benchmark term to its list here, the last is of fillers
     for k, term in enumerate(terms):
-        t = items.terms.get(term)
+        t = numbers.get(term)
         if t is not None:
-            known[t] = counts[k]
-            at[t] = slice(ends[k] - counts[k], ends[k])
-    base = np.cumsum(n_words + GAP) - (n_words + GAP)
-    cached: dict[int, np.ndarray] = {}
-    spans, exact_items, near_items = [], {}, {}
-    names = list(items.windows.values())
-    for row in np.flatnonzero(known[table].min(1) > 0):
-        window = [t for t in table[row].tolist() if t >= 0]
-        for t in window:
-            if t not in cached:
-                cached[t] = np.cumsum(deltas[at[t]], dtype=np.int64)
-        starts, exact = _starts([cached[t] for t in window], list(range(len(window))), slop)
-        if not len(starts):
-            continue
-        # A start belongs to the document of the window's middle, which a near match cannot leave.
-        owner = np.searchsorted(base, np.maximum(starts, 0) + (len(window) - 1) // 2, "right") - 1
-        for d in np.unique(owner[exact]).tolist():
-            exact_items.setdefault(d, set()).update(names[row])
-        for d in np.unique(owner[~exact]).tolist():
-            near_items.setdefault(d, set()).update(names[row])
-        spans.append(np.stack([starts[exact], np.full(int(exact.sum()), len(window))], 1))
-    return np.concatenate(spans) if spans else np.empty((0, 2), np.int64), exact_items, near_items
-
-
-def matches(segments: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each document and benchmark block: doc_id, segment, place, n_words, spans (start and end word of covered runs), items, near."""
-    spark = segments.sparkSession
+            local[t] = k
+    table = local[items.table]
+    rows = np.flatnonzero(((table < len(terms)) | (items.table < 0)).all(1))
+    if not len(rows):
+        return np.empty((0, 2), np.int64), {}, {}
+    used, table = np.unique(np.where(items.table[rows] < 0, -1, table[rows]), return_inverse=True)
+    table = table.reshape(len(rows), -1) - (used[0] < 0)
+    lists = [np.cumsum(deltas[ends[k] - counts[k] : ends[k]], dtype=np.int64) for k in used[used >= 0].tolist()]
+    size, base = (table >= 0).sum(1), np.cumsum(n_words + GAP) - (n_words + GAP)
+    spans, exact_in, near_in = [], {}, {}
+    for window, start, exact in search(table, np.array([len(x) for x in lists]), np.concatenate(lists), slop):
+        owner = np.searchsorted(base - GAP // 2, start, "right") - 1
+        for into, which in ((exact_in, exact), (near_in, ~exact)):
+            for d, w in np.unique(np.stack([owner[which], rows[window[which]]], 1), axis=0).tolist():
+                into.setdefault(d, []).append(w)
+        spans.append(np.stack([start[exact], size[window[exact]]], 1))
+    return np.concatenate(spans) if spans else np.empty((0, 2), np.int64), exact_in, near_in
+
+
+def matches(segments: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """One row for each document and benchmark block (doc_id, segment, place, n_words, spans (start and end word of covered runs), items, near), and the number of blocks."""
+    spark, block_windows = segments.sparkSession, max(1, block_bytes // (4 * window))
     kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    bench = benchmark.select("item_id", text.alias("text"))
-    size = bench.agg(F.sum(F.octet_length("text")).cast("bigint")).first()[0] or 0
-    n_blocks = -(-size // block_bytes) or 1
+    bench = pieces(benchmark, window, min(PIECE_WINDOWS, block_windows))
+    n_blocks = -(-(bench.agg(F.sum("windows")).first()[0] or 0) // block_windows) or 1
     out = None
     for block in range(n_blocks):
-        # Blocks are cut by a hash of the whole item, each within about block_bytes.
-        some = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
+        # Pieces are dealt out by a hash of all that they are, so blocks hold about the same.
+        some = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "piece", "found"), F.lit(n_blocks)) == block)
         items = Benchmark(window)
         for r in some.toLocalIterator():
-            items.add(r["item_id"], r["text"])
-        sent = spark.sparkContext.broadcast((items, items.table()))
+            items.add(r["item_id"], [w.encode("utf-8", "replace") for w in r["found"]])
+        sent = spark.sparkContext.broadcast(items.packed())
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, table = sent.value
+            items = sent.value
+            numbers = {t: k for k, t in enumerate(items.terms.split(b" "))} if items.terms else {}
             for batch in batches:
                 for k in range(batch.num_rows):
                     name, terms, counts, deltas = (batch.column(c)[k].as_py() for c in range(4))
                     ids, n = batch.column(4).slice(k, 1).flatten(), batch.column(5).slice(k, 1).flatten().to_numpy().astype(np.int64)
-                    spans, exact, near = search_segment(items, table, terms.split(b" ") if terms else [], np.frombuffer(counts, np.int32), np.frombuffer(deltas, np.int32), n, slop)
+                    spans, exact, near = search_segment(items, numbers, terms.split(b" ") if terms else [], np.frombuffer(counts, np.int32), np.frombuffer(deltas, np.int32), n, slop)
                     base = np.cumsum(n + GAP) - (n + GAP)
                     runs = _runs(spans, base, n)
+                    named = [pa.array([items.items_of(np.array(of.get(d, ()), np.int64)) for d in range(len(n))], pa.list_(pa.string())) for of in (exact, near)]
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array([name] * len(n)), pa.array(range(len(n)), pa.int32()), pa.array(n), pa.array([runs.get(d) for d in range(len(n))], pa.list_(pa.int32())),
-                         pa.array([sorted(exact.get(d, ())) for d in range(len(n))], pa.list_(pa.string())), pa.array([sorted(near.get(d, ())) for d in range(len(n))], pa.list_(pa.string()))],
+                        [ids, pa.array([name] * len(n)), pa.array(range(len(n)), pa.int32()), pa.array(n), pa.array([runs.get(d) for d in range(len(n))], pa.list_(pa.int32())), *named],
                         ["doc_id", "segment", "place", "n_words", "spans", "items", "near"],
-                    )
+                    )
 
         found = map_batches(segments, run, f"doc_id {kind}, segment string, place int, n_words bigint, spans array<int>, items array<string>, near array<string>")
         out = found if out is None else out.unionByName(found)
-    return out
+    return out, n_blocks
 
 
 def _runs(spans: np.ndarray, base: np.ndarray, n_words: np.ndarray) -> dict[int, list[int]]:
@@ -231,14 +277,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sl
     A window is `window` consecutive words of an item; an item with fewer words is one window, one without
     words has none. A document word inside any exact occurrence is hit. items: ids, as strings in order,
     of items with an exact occurrence; a null item_id counts as an empty string, a repeated one as one item.
-    n_near: items with a near match (see above) and no exact one. Null texts have no words; repeated rows
-    and null doc_ids each keep their row; other columns are ignored; empty tables give no rows or no hits.
+    n_near: items with a near match (see above) and no exact one in the document. Null texts have no words;
+    repeated rows and null doc_ids each keep their row; texts of any length are posted whole; other columns
+    are ignored; empty tables give no rows or no hits.
     """
+    if window > GAP // 2 or slop > GAP // 4:
+        raise ValueError("a window and its slop must fit between documents")
     segments = index(docs, segment_tokens)
-    found = matches(segments, benchmark, window, slop, block_bytes)
+    found, n_blocks = matches(segments, benchmark, window, slop, block_bytes)
     # With one block this grouping would be an idle shuffle: each document has one row.
-    several = (benchmark.agg(F.sum(F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit("")))).cast("bigint")).first()[0] or 0) > block_bytes
-    if several:
+    if n_blocks > 1:
         lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("items", "near")]
         found = found.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("all_spans"), *lists)
         found = found.withColumns({"items": F.array_sort(F.array_distinct("items")), "spans": _merged(F.col("all_spans"))})

@@ -100,8 +100,16 @@ ORACLE_SQL = {
             FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) i FROM lower_words, (SELECT DISTINCT n FROM wins))) d
           JOIN wins x ON d.n = x.n AND d.win = x.win),
         hits AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) p FROM spots) GROUP BY doc_id),
+        numbered AS (SELECT n, win, dense_rank() OVER (ORDER BY n, win) win_id FROM wins GROUP BY n, win),
+        slots AS (SELECT win_id, n, unnest(range(0, n)) k, unnest(string_split(win, ' ')) word FROM numbered),
+        places AS (SELECT doc_id, unnest(range(0, len(w))) p, unnest(w) word FROM lower_words),
+        starts AS (SELECT DISTINCT doc_id, win_id, n, k, p - k + shift AS s FROM places JOIN slots USING (word), (VALUES (-1), (0), (1)) v(shift)),
+        close AS (SELECT DISTINCT doc_id, win_id FROM (SELECT doc_id, win_id, n, s FROM starts GROUP BY ALL HAVING count(*) = n)),
+        near AS (SELECT doc_id, count(*) n_near FROM (
+          SELECT DISTINCT c.doc_id, x.item_id FROM close c JOIN numbered i USING (win_id) JOIN wins x ON x.n = i.n AND x.win = i.win
+          EXCEPT SELECT doc_id, item_id FROM spots) GROUP BY doc_id),
         names AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) item FROM spots) GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-               coalesce(n_hit, 0) > 0 AS contaminated
-        FROM lower_words d LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)""",
+               coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+        FROM lower_words d LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id) LEFT JOIN near USING (doc_id)""",
 }

@@ -97,6 +97,49 @@ def test_near_matches(spark):
     assert got == {1: (0, 1), 2: (1, 0), 3: (0, 0), 4: (0, 0)}
 
 
+def slow_near(text, items, slop):
+    """The items with a start from which each word stands within slop of its place, whatever window it is, but no exact one."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, near, exact = split(text), set(), set()
+    for name, item in items:
+        v = split(item)
+        for i in range(max(1, len(v) - 9) if v else 0):
+            win = v[i : i + 10]
+            for s in range(-slop, len(w) + slop):
+                if all(t in w[max(0, s + k - slop) : max(0, s + k + slop + 1)] for k, t in enumerate(win)):
+                    (exact if w[max(s, 0) : s + len(win)] == win and s >= 0 else near).add("" if name is None else str(name))
+    return len(near - exact)
+
+
+@pytest.mark.parametrize("slop", [0, 1, 3])
+def test_near_matches_do_not_depend_on_segments_or_blocks(spark, slop):
+    r = random.Random(slop)
+    say = lambda n: [r.choice("a a a b b c d e f g".split()) for _ in range(n)]
+    items = [(k, " ".join(say(r.choice((1, 2, 3, 4, 5, 12))))) for k in range(25)] + [(25, None), (None, "a b c"), (26, "a b c"), (3, "g g")]
+    rows = [(1, "a x b x c"), (2, "x a b"), (3, "b"), (4, "a"), (5, None), (6, "")]
+    for k in range(60):
+        w = say(r.randint(0, 12)) + items[k % 25][1].split() + say(r.randint(0, 4))
+        for _ in range(r.randint(0, 3)):
+            w.insert(r.randint(0, len(w)), "x")
+        rows.append((10 + k, " ".join(w)))
+    want = sorted((i, slow_near(t, items, slop)) for i, t in rows)
+    assert any(n for _, n in want) or not slop
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for parts, segment, block in ((1, contamination.SEGMENT_TOKENS, contamination.BLOCK_BYTES), (3, 60, contamination.BLOCK_BYTES), (7, 1, 4000), (2, 300, 2000)):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+        got = contamination.contaminated(docs, bench, slop=slop, segment_tokens=segment, block_bytes=block).select("doc_id", "n_near").collect()
+        assert sorted(map(tuple, got)) == want, (parts, segment, block)
+
+
+def test_items_of_many_windows_are_sent_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(contamination, "PIECE_WINDOWS", 7)
+    r = random.Random(31)
+    item = " ".join(r.choice("abcdefgh") + str(r.randint(0, 9)) for _ in range(60))
+    docs = spark.createDataFrame([(k, "z " * k + " ".join(item.split()[k : k + 10]) + " y") for k in range(51)], "doc_id bigint, text string")
+    got = contamination.contaminated(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
+    assert [(g["n_hit"], g["n_items"]) for g in got] == [(10, 1)] * 51
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
