@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,19 +14,23 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch at most: whole texts travel in them, so the session's default of 10,000 is too many.
 BATCH_ROWS = 1000
+#: Bytes of a table that is broadcast, at most, and what a row of a few ids and digests takes of them.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 64
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, one machine)
-    a temporary folder takes its place.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset on one machine (tests) a
+    temporary folder takes its place; on a cluster nobody else could read it, so there it is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
         if option.isDefined():
             return option.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="moraine-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -76,5 +81,10 @@ def parts_for(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
 
 
+def beside(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The narrow (and staged) side of a join: sent whole to the other side up to `limit` bytes, at ROW_BYTES a row; a larger one is joined by a shuffle."""
+    return F.broadcast(small) if small.count() * ROW_BYTES <= limit else small.hint("merge")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

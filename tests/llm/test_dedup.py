@@ -151,6 +151,39 @@ def test_bytes_are_compared_by_shuffle_too(odd):
     assert one == other and all(n == 1 for *_, n in one)
 
 
+@pytest.mark.parametrize("digests", [True, False])
+@pytest.mark.parametrize("keys", [1, 3])
+def test_texts_that_share_key_and_digest_stay_apart(odd, monkeypatch, keys, digests):
+    """All texts fall into one or a few keys, and share their digest too: only their bytes tell them apart."""
+    from pyspark.sql import functions as F
+
+    if not digests:
+        monkeypatch.setattr(exact, "digest", lambda norm: F.unhex(F.sha2(F.substring(norm, 1, 0), 256)))
+    docs = odd.collect()
+    want = slow_exact(docs)
+    for limit in (exact.BROADCAST_BYTES, 0):
+        got = exact.exact_duplicates(odd, 2, limit, lambda norm: F.pmod(F.xxhash64(norm), F.lit(keys)) - 1).collect()
+        shown = sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"]) for r in got)
+        assert shown == sorted((str(r["doc_id"]), str(want[norm][0]), want[norm][1]) for r in docs for norm in [WHITE.sub("", r["text"] or "")])
+        assert sum(r["kept"] for r in got) == len(want)
+
+
+def test_directory_points_every_key_to_one_bucket(spark):
+    """Skewed keys: most share their leading bits, so their buckets are deeper than the others, to which several cells point."""
+    r = random.Random(7)
+    keys = {r.getrandbits(64) for _ in range(40)} | {0x1F << 59 | r.getrandbits(59) for _ in range(60)}
+    df = spark.createDataFrame([(k - (1 << 64) if k >> 63 else k,) for k in sorted(keys)], "key bigint")
+    cells, bits = exact.directory(df, 5)
+    rows = {c["cell"]: (c["depth"], c["bucket"]) for c in cells.collect()}
+    assert sorted(rows) == list(range(1 << bits)) and all(c >> bits - d == b for c, (d, b) in rows.items())
+    held = defaultdict(int)
+    for k in keys:
+        held[rows[k >> 64 - bits]] += 1
+    assert max(held.values()) <= 5 and sum(held.values()) == len(keys)
+    # A bucket is split only if it is overfull, so the parent of a bucket holds more than fits.
+    assert all(sum(k >> 65 - d == b >> 1 for k in keys) > 5 for d, b in rows.values() if d)
+
+
 def test_deduplicated(odd, none):
     docs, kept = odd.collect(), exact.deduplicated(odd)
     assert kept.columns == odd.columns and kept.count() == len(slow_exact(docs))
