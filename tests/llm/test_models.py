@@ -48,8 +48,8 @@ def test_toxicity_on_held_out_rows(spark):
     docs, labels = documents(spark, DATA), spark.read.parquet(f"{DATA}/labels.parquet")
     found = toxicity.scored(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where("held_out").collect()
     right = sum(r["predicted"] and r["toxic"] for r in found)
-    # 352 toxic rows are there to learn from; with the 1,700 of a larger table recall is 0.99.
-    assert right >= 0.95 * sum(r["predicted"] for r in found) and right >= 0.75 * sum(r["toxic"] for r in found)
+    # 352 toxic rows are there to learn from.
+    assert right >= 0.95 * sum(r["predicted"] for r in found) and right >= 0.85 * sum(r["toxic"] for r in found)
 
 
 def test_toxicity_edges(spark, odd, none):
@@ -68,6 +68,48 @@ def test_toxicity_buckets_do_not_depend_on_steps(monkeypatch):
     assert np.array_equal(whole, toxicity.buckets(text))
 
 
+def slow_toxicity(model, text):
+    """The score by its definition: n-grams one by one, with Python's integers."""
+    line, mask, total = f" {(text or '').lower()} ", (1 << 64) - 1, model.bias
+    rates = {}
+    for n in toxicity.ORDERS:
+        for i in range(len(line) - n + 1):
+            h = ord(line[i]) * 0x9E3779B97F4A7C15 & mask
+            for c in line[i + 1 : i + n]:
+                h = ((h ^ h >> 29) * 0xBF58476D1CE4E5B9 + ord(c)) & mask
+            h = (h ^ h >> 32) * (0x94D049BB133111EB + 2 * n) & mask
+            rates[h >> 64 - toxicity.BITS] = rates.get(h >> 64 - toxicity.BITS, 0) + 1
+    for b, k in rates.items():
+        total += model.weights[b] * min(k * 1000 / (len(text or "") + 300), 6.0)
+    return 1 / (1 + np.exp(-total))
+
+
+def test_toxicity_against_plain_python(spark, odd, monkeypatch):
+    r = random.Random(3)
+    texts = ["".join(r.choice("abc dé\n日") for _ in range(r.randint(0, 200))) for _ in range(80)]
+    model = toxicity.train(texts, [int("ab" in t[:60]) for t in texts], 0.3)
+    assert np.count_nonzero(model.weights > 0) > 20 and np.count_nonzero(model.weights < 0) > 20
+    docs = spark.createDataFrame([(k, t, 0.5) for k, t in enumerate([*texts, None, "", "a", " ", "ab " * 3000])], "doc_id bigint, text string, score double")
+    for x in toxicity.scored(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        assert x["score"] == pytest.approx(slow_toxicity(model, x["text"]), abs=1e-9)
+    monkeypatch.setattr(toxicity, "STEP", 64)
+    assert toxicity.score(model, "ab " * 500) == pytest.approx(slow_toxicity(model, "ab " * 500), abs=1e-9)
+
+
+def test_toxicity_sample_is_chosen_among_texts_that_fit(spark):
+    rows = [(k, "x" * (30_000 if k % 2 else 10)) for k in range(200)]
+    labels = spark.createDataFrame([(k, k % 4 // 2) for k in range(200)], "doc_id bigint, toxic int")
+    texts, y, share = toxicity.sampled(spark.createDataFrame(rows, "doc_id bigint, text string"), labels, 25)
+    assert y.count(0) == y.count(1) == 25 and all(len(t) == 10 for t in texts) and 0.4 < share < 0.6
+
+
+def test_toxicity_cross_validation():
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcd ") for _ in range(150)) + " zzz" * 9 * (k % 4 == 0) for k in range(90)]
+    (found,) = toxicity.cross_validated(texts, [int(k % 4 == 0) for k in range(90)], [(0.02, 0.1)])
+    assert found[:2] == (0.02, 0.1) and min(found[2:]) > 0.8
+
+
 def slow_licences(text, model):
     out = []
     for k, line in enumerate((text or "").split("\n")):
