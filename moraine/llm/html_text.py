@@ -34,66 +34,104 @@ UNSEEN, RAW = frozenset("script style template".split()), frozenset("script styl
 ENDS_P = BLOCKS - frozenset("button caption dd dt html body head td th tr tbody thead tfoot li option legend summary iframe select title".split())
 LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS_LIKE = frozenset("ul ol menu dl table select".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+))""")
+#: Tags, comments and other markup as the tokenizer of the HTML standard reads them: a quote opens a value only after "=", elsewhere it is
+#: part of a name. A tag that the page's end cuts off is no tag and no text.
+ATTRIBUTES = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s"'>][^\s>]*+)?+)?+)*+"""
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?:([a-zA-Z][^\s/>]*+){ATTRIBUTES}(?:>|\Z)|[^a-zA-Z>][^>]*+(?:>|\Z)|>)|<([a-zA-Z][^\s/>]*+)({ATTRIBUTES})(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s"'>][^\s>]*+))""")
 WORD = re.compile(r"[a-z]+")
 #: Labelled pages to train on, passes over them, step and ridge.
-PAGES, EPOCHS, RATE, RIDGE, SEED = 300, 8, 0.2, 1e-3, 7
+PAGES, EPOCHS, RATE, RIDGE, SEED = 800, 10, 0.2, 1e-3, 7
 
 
 LENGTHS, LINKS = [f"length:{k}" for k in range(10)], [f"links:{k}" for k in range(5)]
+NO_WORDS: frozenset[str] = frozenset()
 
 
 @dataclass
 class Block:
-    tags: tuple[str, ...]  # open elements, outermost first
-    words: frozenset[str]  # tag=word features of their attributes
+    tags: tuple[str, ...]  # open elements, outermost first; of more than three each kind once and then the innermost three
+    words: frozenset[str]  # of the attributes of all open elements
     text: str
     linked: int  # characters inside links
 
 
-def _attributes(tag: str, rest: str) -> frozenset[str]:
+class Open:
+    """An open element. What its blocks are told by is shared with its parent where it adds nothing, so that deep pages take no more room than shallow ones."""
+
+    __slots__ = ("tag", "kinds", "depth", "inner", "words", "tags")
+
+    def __init__(self, tag: str, words: frozenset[str], above: Open | None):
+        self.tag = tag
+        kinds, inner, seen, self.depth = (above.kinds, above.inner, above.words, above.depth) if above else ((), (), NO_WORDS, 0)
+        self.words = seen if words <= seen else seen | words
+        if tag not in BLOCKS:
+            self.kinds, self.inner, self.tags = kinds, inner, above.tags if above else ()
+            return
+        self.kinds = kinds if tag in kinds else (*kinds, tag)
+        self.inner = (*inner[-2:], tag)
+        self.depth += 1
+        self.tags = above.tags if self.depth > 4 and self.kinds is kinds and self.inner == inner else self.kinds + self.inner if self.depth > 3 else self.inner
+
+
+def _attributes(rest: str) -> frozenset[str]:
+    if "=" not in rest:
+        return NO_WORDS
     found = set()
-    if "=" in rest:
-        for m in ATTRIBUTE.finditer(rest):
-            if m[1].lower() in ("class", "id", "role", "itemprop", "aria-label"):
-                found.update(WORD.findall((m[2] or m[3] or m[4] or "").lower()))
+    for m in ATTRIBUTE.finditer(rest):
+        if m[1].lower() in ("class", "id", "role", "itemprop", "aria-label"):
+            found.update(WORD.findall((m[2] or m[3] or m[4] or "").lower()))
     return frozenset(found)
 
 
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order. White space is normalised, character references are decoded, unseen elements and blank blocks left out.
 
-    Unclosed and misnested tags never fail: an end tag closes up to its match, or is passed over.
+    Unclosed and misnested tags never fail: an end tag closes up to its match, or is passed over. A page takes time
+    in proportion to its length, however deep its elements lie.
     """
     page = page or ""
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[Open] = []
+    count: dict[str, int] = {}
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    unseen = linked = at = 0
+    at, n = 0, len(page)
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
             if text:
                 links = sum(len(" ".join(html.unescape(p).split())) for p, link in parts if link)
-                out.append(Block(tuple(t for t, _ in stack if t in BLOCKS), frozenset().union(*(w for _, w in stack)) if stack else frozenset(), text, min(links, len(text))))
+                top = stack[-1] if stack else None
+                out.append(Block(top.tags if top else (), top.words if top else NO_WORDS, text, min(links, len(text))))
             parts.clear()
 
+    def open_one(tag: str, words: frozenset[str] = NO_WORDS) -> None:
+        stack.append(Open(tag, words, stack[-1] if stack else None))
+        count[tag] = count.get(tag, 0) + 1
+
     def close(depth: int) -> None:
-        nonlocal unseen, linked
-        for tag, _ in stack[depth:]:
-            unseen -= tag in UNSEEN
-            linked -= tag == "a"
+        for e in stack[depth:]:
+            count[e.tag] -= 1
         del stack[depth:]
 
-    n = len(page)
+    def innermost(tags: frozenset[str] | set[str], stop: frozenset[str]) -> int:
+        """The depth of the innermost open element of these, unless one to stop at lies further in; else -1."""
+        if any(count.get(t) for t in tags):
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth].tag in tags:
+                    return depth
+                if stack[depth].tag in stop:
+                    break
+        return -1
+
     while at < n:
         mark = page.find("<", at)
         m = TOKEN.match(page, mark) if mark >= 0 else None
         end = n if mark < 0 else mark if m else mark + 1
+        unseen = any(count.get(t) for t in UNSEEN)
         if end > at and not unseen:
-            parts.append((page[at:end], linked > 0))
+            parts.append((page[at:end], count.get("a", 0) > 0))
         if not m:
             at = end
             continue
@@ -104,47 +142,34 @@ def blocks(page: str | None) -> list[Block]:
                 flush()
             elif tag == "br":
                 parts.append((" ", False))
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    if any(t in BLOCKS for t, _ in stack[depth + 1 :]):
-                        flush()
-                    close(depth)
-                    break
-                if tag not in BLOCKS and stack[depth][0] in BLOCKS:
-                    break  # an inline end tag does not close blocks
+            # An inline end tag does not close blocks.
+            depth = innermost({tag}, NO_WORDS if tag in BLOCKS else BLOCKS)
+            if depth >= 0:
+                if tag not in BLOCKS and any(e.tag in BLOCKS for e in stack[depth + 1 :]):
+                    flush()
+                close(depth)
         elif m[2]:
             tag = m[2].lower()
             if tag in BLOCKS:
                 flush()
-            elif tag == "br" or tag in VOID:
+            elif tag == "br":
                 parts.append((" ", False))
-            if tag in ENDS_P:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == "p":
-                        close(depth)
-                        break
-                    if stack[depth][0] in BLOCKS:
-                        break
-            for depth in range(len(stack) - 1, -1, -1) if tag in LIKE else ():
-                if stack[depth][0] in LIKE[tag]:
-                    close(depth)
-                    break
-                if stack[depth][0] in HOLDS_LIKE:
-                    break
+            if tag in ENDS_P and (depth := innermost({"p"}, BLOCKS)) >= 0:
+                close(depth)
+            if tag in LIKE and (depth := innermost(LIKE[tag], HOLDS_LIKE)) >= 0:
+                close(depth)
             if tag in VOID or m[0].endswith("/>") and tag not in BLOCKS:
                 continue
             if tag in RAW:
-                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z){ATTRIBUTES}(?:>|\Z)", re.I).search(page, at)
                 inside, at = page[at : stop.start() if stop else n], stop.end() if stop else n
                 if tag in ("title", "textarea") and not unseen:
-                    stack.append((tag, frozenset()))
+                    open_one(tag)
                     parts.append((inside, False))
                     flush()
-                    stack.pop()
+                    close(len(stack) - 1)
                 continue
-            stack.append((tag, _attributes(tag, m[3])))
-            unseen += tag in UNSEEN
-            linked += tag == "a"
+            open_one(tag, _attributes(m[3]))
     flush()
     return out
 
@@ -290,10 +315,17 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
 
     def prose() -> str:
         """A short text as boxes around the article hold it."""
-        text = r.choice((sentences(1, 2), words(1, 8), sentences(1, 5)))
-        return text if r.random() < 0.5 else f"<p>{text}</p>"
+        text = r.choice((sentences(1, 2), words(1, 8), sentences(1, 5), sentences(3, 9)))
+        return r.choice((text, f"<p>{text}</p>", f"<p>{text}</p><p>{sentences(1, 6)}</p>", f"<h2>{words(1, 5)}</h2><p>{text}</p>"))
+
+    def deeper(inside: str) -> str:
+        """The same inside further boxes without a telling name."""
+        for _ in range(r.choice((0, 0, 0, 1, 2, 3))):
+            inside = r.choice((f"<div>{inside}</div>", f"<div>{inside}</div>", f'<div class="{r.choice(("row", "inner", "wrap", "container", "col", word()))}">{inside}</div>', f"<section>{inside}</section>"))
+        return inside
 
     def box(kind: str, inside: str) -> str:
+        inside = deeper(inside)
         tag = {"menu": ("nav", "div", "ul"), "side": ("aside", "div", "section"), "footer": ("footer", "div"), "header": ("header", "div"), "comments": ("section", "div", "ol")}.get(kind, ("div", "div", "section", "aside"))
         tag = r.choice(tag)
         plain = tag in ("nav", "aside", "footer", "header")
@@ -304,8 +336,13 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
         return f'<{tag} {r.choice(("class", "class", "id"))}="{name}">{inside}</{tag}>'
 
     def comments() -> str:
-        each = lambda: f'<{r.choice(("div", "li", "article"))} class="comment">{r.choice(("", f"<h4>{word()}</h4>"))}<p>{sentences(1, 4)}</p></div>'
-        return box("comments", r.choice(("", f"<h2>{words(1, 3)}</h2>", f"<h3>{words(1, 2)}</h3>")) + "".join(each() for _ in range(r.randint(1, 5))))
+        def each() -> str:
+            tag, said = r.choice(("div", "li", "article")), r.choice((f"<p>{sentences(1, 4)}</p>", f"<p>{sentences(2, 9)}</p><p>{sentences(1, 5)}</p>", sentences(1, 6)))
+            name = r.choice(('class="comment"', 'class="comment"', 'class="reply"', f'class="{word()}"', ""))
+            return f"<{tag} {name}>" + r.choice(("", f"<h4>{word()}</h4>", f"<span>{words(1, 2)}</span>", f'<a href="/{word()}">{word()}</a> ')) + said + f"</{tag}>"
+
+        plain = "".join(f"<p>{sentences(1, 6)}</p>" for _ in range(r.randint(1, 3)))
+        return box("comments", r.choice(("", f"<h2>{words(1, 3)}</h2>", f"<h3>{words(1, 2)}</h3>")) + r.choice((plain, "".join(each() for _ in range(r.randint(1, 5))))))
 
     def form() -> str:
         return f'<form action="/{word()}"><label>{words(1, 3)}</label><input name="q"><button>{word()}</button>{r.choice(("", f"<p>{words(3, 8)}</p>", f"<textarea>{words(1, 5)}</textarea>", f"<select><option>{word()}<option>{word()}</select>"))}</form>'
@@ -347,8 +384,8 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
     def page() -> str:
         title = words(2, 9).capitalize()
         head = f"<html><head><meta charset=utf-8><title>{title}</title><style>p{{margin:0}}</style><script>var t=\"</p>\";</script></head><body>"
-        top = [box("header", r.choice((f"<a href=/>{word()}</a>", f"<h1>{word()}</h1>", f"<p>{words(1, 5)}</p>", prose())))] * (r.random() < 0.4)
-        top += [box("menu", links(3, 9))] * (r.random() < 0.85) + [aside_box() for _ in range(r.choice((0, 1, 1, 2)))] + [form()] * (r.random() < 0.2)
+        top = [box("header", r.choice((f"<a href=/>{word()}</a>", f"<h1>{word()}</h1>", f"<p>{words(1, 5)}</p>", prose(), prose())))] * (r.random() < 0.4)
+        top += [box("menu", r.choice((links(3, 9), links(3, 9), links(2, 6) + prose(), prose() + links(2, 6), prose())))] * (r.random() < 0.85) + [aside_box() for _ in range(r.choice((0, 1, 1, 2)))] + [form()] * (r.random() < 0.2)
         first = f"<h1>{mine(title)}</h1>" * (r.random() < 0.85)
         inner = first + article()
         shape = r.random()
@@ -368,7 +405,8 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
         if bare < 0.12:
             return article() if r.random() < 0.5 else mine(sentences(1, 3))
         low = [comments()] * (r.random() < 0.35) + [aside_box() for _ in range(r.choice((0, 0, 1, 2)))] + [form()] * (r.random() < 0.15)
-        low += [box("footer", r.choice((f"&copy; {word()}.example &middot; {sentences(1, 3)}", f"<p>{sentences(1, 2)}</p>", links(2, 6), f"<p>&copy; {words(1, 4)}</p>{links(2, 4)}")))] * (r.random() < 0.85)
+        low += [box("menu", r.choice((links(3, 9), prose())))] * (r.random() < 0.15)
+        low += [box("footer", r.choice((f"&copy; {word()}.example &middot; {sentences(1, 3)}", f"<p>{sentences(1, 2)}</p>", prose(), links(2, 6), f"<p>&copy; {words(1, 4)}</p>{links(2, 4)}")))] * (r.random() < 0.85)
         return head + "<!-- x -->".join((*top, inner, *low)) + r.choice(("</body></html>", "</body></html>", "", "</body>"))
 
     return [page() for _ in range(n)]
@@ -397,8 +435,9 @@ def main_text(page: str | None, model: Model) -> str:
 def extracted(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages.
 
-    The whole html is read; null or empty html gives an empty text, as does a page without main text. Null
-    ids and urls are handed on, repeated rows come back each, other columns are ignored.
+    The whole html is read, in time in proportion to its length; null or empty html gives an empty text, as does a
+    page without main text. Where two labellings are equally probable, blocks are no main text. Null ids and urls are
+    handed on, repeated rows come back each, other columns are ignored; an empty table gives an empty table.
     """
     model = model or default_model()
 
