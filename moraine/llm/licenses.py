@@ -1,11 +1,13 @@
 """Licence scans: a trained paragraph classifier in DataFrame expressions.
 
-Lines and runs of lines between blank ones (those without a word) are scored, so that a notice may be wrapped at any width; of the
-confirmed runs that share lines, the one that holds most of a template stands. A run's distinct word 1- and 2-grams are hashed into buckets, and a multinomial
-logistic regression gives the probabilities of licence families and of an unknown class; a temperature
-fitted on paragraphs that were not trained on calibrates them. A prediction stands if the run
-also shares enough word pairs with one of the family's templates. Training takes labelled paragraphs made
-from the templates and runs once on the driver; scoring is one projection without a shuffle or Python.
+A paragraph is a line, or a run of lines between blank ones (those without a word) without comment marks, so that a
+notice may be wrapped at any width. Its distinct word 1- and 2-grams are hashed into buckets, and a sparse multinomial
+logistic regression gives the probabilities of licence families and of an unknown class; a temperature fitted on
+paragraphs that were not trained on calibrates them. Every line of every text is classified. A prediction is confirmed if
+the paragraph also shares enough word pairs with one of the family's templates; of the confirmed runs that share
+lines, the one that holds most of a template stands. Runs that hold enough of no template could not be confirmed whatever
+the classifier says, so only lines are classified without that. Training takes labelled paragraphs, made from a grammar of
+notices and from the templates, and runs once on the driver; scoring is one projection without a shuffle or Python.
 """
 
 from __future__ import annotations
@@ -22,21 +24,30 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Licence notices by family (fixed values).
-TEMPLATES = {
-    "agpl": ["licensed under the gnu affero general public license", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"],
-    "apache": ["licensed under the apache license version 2.0", "you may not use this file except in compliance with the license", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "spdx-license-identifier apache-2.0"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "released under the bsd license", "licensed under the bsd 3-clause license", "spdx-license-identifier bsd-3-clause"],
+#: Sentences of licence notices by family (fixed values).
+NOTICES = {
+    "agpl": ["licensed under the gnu affero general public license", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license", "you should have received a copy of the gnu affero general public license along with this program"],
+    "apache": ["licensed under the apache license version 2.0", "you may not use this file except in compliance with the license", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"],
+    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", "this software is provided by the copyright holders and contributors as is and any express or implied warranties are disclaimed", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "released under the bsd license", "licensed under the bsd 3-clause license"],
     "cc-by": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
     "cc-by-nc": ["licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution-noncommercial 4.0 international license"],
     "cc-by-sa": ["licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution-sharealike 4.0 international license"],
-    "cc0": ["released under cc0 1.0", "dedicated to the public domain under the creative commons zero license"],
-    "gpl": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "released under the gpl license", "spdx-license-identifier gpl-3.0"],
-    "isc": ["released under the isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
-    "lgpl": ["licensed under the gnu lesser general public license version 2.1", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"],
-    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "spdx-license-identifier mit"],
-    "mpl": ["this source code form is subject to the terms of the mozilla public license v. 2.0", "licensed under the mozilla public license 2.0"],
+    "cc0": ["released under cc0 1.0", "dedicated to the public domain under the creative commons zero license", "the person who associated a work with this deed has dedicated the work to the public domain"],
+    "gpl": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "you should have received a copy of the gnu general public license along with this program", "released under the gpl license"],
+    "isc": ["released under the isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "the software is provided as is and the author disclaims all warranties with regard to this software"],
+    "lgpl": ["licensed under the gnu lesser general public license version 2.1", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "you should have received a copy of the gnu lesser general public license along with this library"],
+    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", "in no event shall the authors or copyright holders be liable for any claim damages or other liability"],
+    "mpl": ["this source code form is subject to the terms of the mozilla public license v. 2.0", "licensed under the mozilla public license 2.0", "if a copy of the mpl was not distributed with this file you can obtain one at"],
 }
+#: Names by which a family is called (fixed values), and the short notices that are made of them.
+NAMES = {
+    "agpl": ["agpl", "agplv3", "agpl-3.0", "gnu agpl"], "apache": ["apache", "apache 2.0", "apache-2.0", "asl 2.0"], "bsd": ["bsd", "bsd-3-clause", "bsd-2-clause", "3-clause bsd"],
+    "cc-by": ["cc by 4.0", "cc-by-4.0"], "cc-by-nc": ["cc by-nc 4.0", "cc-by-nc-4.0"], "cc-by-sa": ["cc by-sa 4.0", "cc-by-sa-4.0"], "cc0": ["cc0", "cc0-1.0", "cc0 1.0"],
+    "gpl": ["gpl", "gplv2", "gplv3", "gpl-2.0", "gpl-3.0", "gnu gpl"], "isc": ["isc"], "lgpl": ["lgpl", "lgplv3", "lgpl-2.1", "gnu lgpl"], "mit": ["mit"], "mpl": ["mpl", "mpl-2.0", "mpl 2.0"],
+}
+FRAMES = ["license {}", "{} license", "{} licensed", "under the {}", "under {}", "spdx-license-identifier {}"]
+#: What a paragraph is compared with to confirm a prediction.
+TEMPLATES = {f: list(dict.fromkeys([*NOTICES[f], *(frame.format(name) for name in NAMES[f] for frame in FRAMES)])) for f in NOTICES}
 FAMILIES = sorted(TEMPLATES)
 #: Ordinary sentences with the words of licences (fixed values), for the unknown class.
 OTHERS = [
@@ -47,17 +58,17 @@ OTHERS = [
 #: Comment marks of letters; all others are no words.
 MARK = r"^(?:\s*(?:dnl|rem)|c)(?=\s)"
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
-BUCKETS = 4096
-#: Paragraphs made for each family, for training and for calibration.
-MADE, HELD = 80, 40
-EPOCHS, RATE, RIDGE, SEED = 80, 0.5, 1e-3, 11
+BUCKETS = 1 << 15
+#: Paragraphs made for each family, for training and for calibration; buckets of fewer of them have no weights.
+MADE, HELD, LEAST_SEEN = 400, 80, 4
+EPOCHS, RATE, RIDGE, SEED = 200, 0.5, 1e-3, 11
 #: Least probability of a family, and least share of a template's word pairs that a paragraph must hold.
 LEAST, SHARE = 0.5, 0.6
 #: Words that are frequent in any English text; they only decide which pairs CUE is made of.
 COMMON = frozenset("a all and any are as be by following for free in is it may must not of on only or that the this to under use version with you".split())
 
 #: Words that the inner lines of a run hold at most: a notice as long as the longest template, and as many words put in.
-REACH = 2 * max(len(re.findall(WORD, t)) for found in TEMPLATES.values() for t in found)
+REACH = 2 * max(len(re.findall(WORD, t)) for found in NOTICES.values() for t in found)
 
 
 def words(text: str) -> list[str]:
@@ -79,7 +90,7 @@ def coded(text: str) -> list[int]:
 
 @dataclass(frozen=True)
 class Model:
-    weights: np.ndarray  # buckets x classes, the unknown class last
+    weights: np.ndarray  # buckets x classes, the unknown class last; most buckets have none
     bias: np.ndarray
 
     def probabilities(self, text: str) -> np.ndarray:
@@ -88,21 +99,40 @@ class Model:
         return e / e.sum()
 
 
+#: Ways to say under what a work stands, and what may stand around that (fixed values); {} is a licence's name.
+SAYINGS = [
+    "released under the {} license", "licensed under the {}", "licensed under the terms of the {} license", "distributed under the {}", "distributed under the terms of the {} license", "this project is {} licensed",
+    "license {}", "the license is {}", "code under the {}", "made available under {}", "published under a {} license", "see the {} license for details", "{} license", "this package is free software under {}",
+    "you may use this work under the {}", "{} licensed", "spdx-license-identifier {}", "this is subject to the terms of the {}", "it is covered by the {} license", "dual licensed under {}", "provided under {}",
+]
+AROUND = ["copyright 2019 the authors", "all rights reserved", "this file", "see license.txt", "the source code is", "the documentation is", "unless stated otherwise", "version 3 or later", "or any later version", "as published by the free software foundation", "with exceptions", "2021"]
+
+
 def labelled_paragraphs(n: int, seed: int) -> list[tuple[str, int]]:
-    """Templates with words dropped, doubled, exchanged and put around them; the unknown class gets ordinary and shuffled sentences."""
+    """Notices of each family by a grammar of sayings and names, and sentences of notices with words dropped and parts cut off, with words around them.
+
+    The unknown class gets ordinary sentences, and words of licences that name no licence.
+    """
     r = random.Random(seed)
     stray = lambda k: ["".join(r.choice("etaoinshrdluüéñ") for _ in range(r.randint(1, 9))) for _ in range(k)]
+    around = lambda: words(r.choice(AROUND)) if r.random() < 0.25 else stray(r.choice((0, 0, 1, 4, 12)))
     out = []
     for label, family in enumerate(FAMILIES):
         for k in range(n):
-            w = words(TEMPLATES[family][k % len(TEMPLATES[family])])
-            if r.random() < 0.5:
-                w = [x for x in w if r.random() > 0.06] or w
-            out.append((" ".join(stray(r.choice((0, 0, 1, 4, 12))) + w + stray(r.choice((0, 0, 1, 4, 12)))), label))
-    for k in range(3 * n):
-        kind = k % 3
-        w = words(r.choice(OTHERS)) if kind == 0 else [] if kind == 1 else r.sample(words(TEMPLATES[r.choice(FAMILIES)][0]), 2)
-        out.append((" ".join(stray(r.randint(0, 12)) + w + stray(r.randint(1, 12))), len(FAMILIES)))
+            if k % 3 == 0:
+                w = words(NOTICES[family][k // 3 % len(NOTICES[family])])
+                if r.random() < 0.5:
+                    w = [x for x in w if r.random() > 0.06] or w
+                if len(w) > 12 and r.random() < 0.3:
+                    w = w[: len(w) * 3 // 4] if r.random() < 0.5 else w[len(w) // 4 :]
+            else:
+                w = words(r.choice(SAYINGS).format(r.choice(NAMES[family])))
+            out.append((" ".join(around() + w + around()), label))
+    said = [w for saying in SAYINGS for w in [words(saying.format(""))]]
+    for k in range(4 * n):
+        kind = k % 4
+        w = words(r.choice(OTHERS)) if kind == 0 else [] if kind == 1 else r.sample(words(NOTICES[r.choice(FAMILIES)][0]), 2) if kind == 2 else r.choice(said)
+        out.append((" ".join(around() + w + stray(r.randint(1, 12))), len(FAMILIES)))
     return out
 
 
@@ -110,14 +140,18 @@ def labelled_paragraphs(n: int, seed: int) -> list[tuple[str, int]]:
 def default_model() -> Model:
     """Full-batch AdaGrad on made paragraphs, then the temperature with the least log loss on others."""
 
+    made = labelled_paragraphs(MADE, SEED)
+    seen = np.bincount([b for text, _ in made for b in coded(text)], minlength=BUCKETS)
+    column = {b: k for k, b in enumerate(np.flatnonzero(seen >= LEAST_SEEN).tolist())}
+
     def matrix(rows: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
-        x = np.zeros((len(rows), BUCKETS), np.float32)
+        x = np.zeros((len(rows), len(column)), np.float32)
         for k, (text, _) in enumerate(rows):
-            x[k, coded(text)] = 1
+            x[k, [column[b] for b in coded(text) if b in column]] = 1
         return x, np.array([y for _, y in rows])
 
-    x, y = matrix(labelled_paragraphs(MADE, SEED))
-    w, b = np.zeros((BUCKETS, len(FAMILIES) + 1), np.float32), np.zeros(len(FAMILIES) + 1, np.float32)
+    x, y = matrix(made)
+    w, b = np.zeros((len(column), len(FAMILIES) + 1), np.float32), np.zeros(len(FAMILIES) + 1, np.float32)
     seen_w, seen_b = np.full(w.shape, 1e-6, np.float32), np.full(b.shape, 1e-6, np.float32)
     for _ in range(EPOCHS):
         z = x @ w + b
@@ -137,7 +171,9 @@ def default_model() -> Model:
         return float((np.log(np.exp(s - s.max(1, keepdims=True)).sum(1)) + s.max(1) - s[np.arange(len(y)), y]).mean())
 
     t = min((0.25, 0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0), key=loss)
-    return Model(np.round(w.astype(float) / t, 6), np.round(b.astype(float) / t, 6))
+    weights = np.zeros((BUCKETS, w.shape[1]))
+    weights[list(column)] = np.round(w.astype(float) / t, 6)
+    return Model(weights, np.round(b.astype(float) / t, 6))
 
 
 def pairs(found: list[str]) -> list[str]:
@@ -183,7 +219,7 @@ def _windows(lines: Column) -> Column:
     A run's inner lines hold REACH words at most. A cue may run over to the next line.
     """
     hits = F.transform(lines, lambda line, k: F.lower(F.concat_ws(" ", line, F.get(lines, k + 1))).rlike(CUE))
-    worded = F.transform(lines, lambda line: F.regexp_extract_all(F.regexp_replace(F.lower(line), MARK, ""), F.lit(WORD), F.lit(0)))
+    worded = F.transform(lines, _words)
 
     def last(counts: Column, k: Column) -> Column:
         """The last line of the longest run from line k."""
@@ -231,29 +267,53 @@ def _picked(groups: Column) -> Column:
     return _let(_let(solid(groups), least), lambda found: chosen(found))
 
 
+def _classifier(model: Model):
+    """A function from the distinct grams of a paragraph to (k, probability) of its most probable class; of equal ones the first."""
+    known = np.flatnonzero(model.weights.any(1))
+    slots = np.full(len(model.weights), -1)
+    slots[known] = np.arange(len(known))
+    slot, weights, bias = _array(slots.tolist(), "array<int>"), _array(model.weights[known].tolist(), "array<array<double>>"), _array(model.bias.tolist(), "array<double>")
+
+    def classify(grams: Column) -> Column:
+        hashed = F.transform(grams, lambda g: F.get(slot, F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int")))
+        held = F.array_distinct(F.filter(hashed, lambda k: k >= 0))
+        sums = F.aggregate(held, bias, lambda s, k: F.zip_with(s, F.get(weights, k), lambda a, b: a + b))
+        return _let(sums, lambda z: F.struct(
+            (F.array_position(z, F.array_max(z)) - 1).cast("int").alias("k"), (1 / F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max(z)))).alias("probability"),
+        ))
+
+    return classify
+
+
+def _pairs(w: Column) -> Column:
+    return F.array_distinct(F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda b, k: F.concat_ws(" ", F.get(w, k), b)))
+
+
+def _words(line: Column) -> Column:
+    return F.regexp_extract_all(F.regexp_replace(F.lower(line), MARK, ""), F.lit(WORD), F.lit(0))
+
+
+def predicted(text: Column, model: Model) -> Column:
+    """How many lines of a text the classifier takes for notices of a family, confirmed or not. Every line with a word is classified."""
+    classify = _classifier(model)
+    lines = F.filter(F.transform(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1), _words), lambda w: F.size(w) > 0)
+    found = F.transform(lines, lambda w: classify(F.concat(w, _pairs(w))))
+    return F.size(F.filter(found, lambda c: (c["k"] < len(FAMILIES)) & (c["probability"] >= LEAST)))
+
+
 def paragraphs(text: Column, model: Model) -> Column:
     """Array of (line, family, probability) of the confirmed licence notices of a text."""
-    weights, bias = _array(model.weights.tolist(), "array<array<double>>"), _array(model.bias.tolist(), "array<double>")
     templates = _array([[pairs(words(t)) for t in TEMPLATES[f]] for f in FAMILIES], "array<array<array<string>>>")
-    families = F.array(*map(F.lit, FAMILIES))
-    two = lambda w: F.array_distinct(F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda b, k: F.concat_ws(" ", F.get(w, k), b)))
+    families, classify = F.array(*map(F.lit, FAMILIES)), _classifier(model)
     keep = lambda p, *more: F.struct(p["line"].alias("line"), p["last"].alias("last"), *more)
     share = lambda p, t: F.size(F.array_intersect(p["pairs"], t)) / F.size(t)
     holds = lambda p, t: F.size(F.array_intersect(p["pairs"], t)) >= SHARE * F.size(t)
 
-    def scores(p: Column) -> Column:
-        hashed = F.array_distinct(F.transform(F.concat(F.array_distinct(p["w"]), p["pairs"]), lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int")))
-        return F.aggregate(hashed, bias, lambda s, k: F.zip_with(s, F.get(weights, k), lambda a, b: a + b))
-
     def confirmed(group: Column) -> Column:
-        paired = F.transform(group, lambda p: keep(p, p["w"].alias("w"), two(p["w"]).alias("pairs")))
+        paired = F.transform(group, lambda p: keep(p, p["w"].alias("w"), _pairs(p["w"]).alias("pairs")))
         # What holds enough of no template would be dropped in the end; it is not scored.
         likely = F.filter(paired, lambda p: F.exists(templates, lambda family: F.exists(family, lambda t: holds(p, t))))
-        scored = F.transform(likely, lambda p: keep(p, p["pairs"].alias("pairs"), scores(p).alias("z")))
-        best = F.transform(scored, lambda p: keep(
-            p, p["pairs"].alias("pairs"), (F.array_position(p["z"], F.array_max(p["z"])) - 1).cast("int").alias("k"),
-            (1 / F.aggregate(p["z"], F.lit(0.0), lambda s, z: s + F.exp(z - F.array_max(p["z"])))).alias("probability"),
-        ))
+        best = F.transform(likely, lambda p: _let(classify(F.concat(p["w"], p["pairs"])), lambda c: keep(p, p["pairs"].alias("pairs"), c["k"].alias("k"), c["probability"].alias("probability"))))
         known = F.filter(best, lambda p: (p["k"] < len(FAMILIES)) & (p["probability"] >= LEAST))
         sure = F.filter(known, lambda p: F.exists(F.get(templates, p["k"]), lambda t: holds(p, t)))
         return F.transform(sure, lambda p: keep(p, p["k"].alias("k"), p["probability"].alias("probability"), F.array_max(F.transform(F.get(templates, p["k"]), lambda t: share(p, t))).alias("share")))
@@ -267,11 +327,13 @@ def paragraphs(text: Column, model: Model) -> Column:
 
 
 def scanned(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, families (in order), n_paragraphs, probability (the highest), found (first line, family, probability) for each document.
+    """doc_id, families (in order), n_paragraphs, probability (the highest), n_predicted, found (first line, family, probability) for each document.
 
-    A document without a confirmed licence has no families and a null probability; so have null and empty
-    texts. Ties between classes go to the first in alphabetical order. Null ids and repeated rows keep
+    n_predicted: lines that the classifier takes for notices, confirmed or not; the others are of confirmed paragraphs. A
+    document without one has no families and a null probability; so have null and empty texts. Texts of any length
+    are read whole. Ties between classes go to the first in alphabetical order. Null ids and repeated rows keep
     their rows; other columns are ignored; an empty table gives an empty table.
     """
-    found = docs.select("doc_id", paragraphs(F.col("text"), model or default_model()).alias("found"))
-    return found.select("doc_id", F.array_sort(F.array_distinct(F.col("found.family"))).alias("families"), F.size("found").cast("bigint").alias("n_paragraphs"), F.array_max(F.col("found.probability")).alias("probability"), "found")
+    model = model or default_model()
+    found = docs.select("doc_id", paragraphs(F.col("text"), model).alias("found"), predicted(F.col("text"), model).cast("bigint").alias("n_predicted"))
+    return found.select("doc_id", F.array_sort(F.array_distinct(F.col("found.family"))).alias("families"), F.size("found").cast("bigint").alias("n_paragraphs"), F.array_max(F.col("found.probability")).alias("probability"), "n_predicted", "found")

@@ -15,7 +15,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scanned(documents(spark, sf_dir))
-    return found.select("doc_id", F.array_join("families", ",").alias("families"), "n_paragraphs", F.round("probability", 6).alias("probability"))
+    return found.select("doc_id", F.array_join("families", ",").alias("families"), "n_paragraphs", F.round("probability", 6).alias("probability"), "n_predicted")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
