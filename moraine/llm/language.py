@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moraine.llm.common import held_out, id_type, learnable, map_batches
@@ -22,8 +22,9 @@ from moraine.llm.common import held_out, id_type, learnable, map_batches
 UNKNOWN = "und"
 #: Labelled rows that the dictionaries are filled from, for each language at most: the least by a hash of doc_id in each of so many slots.
 SLOTS = 128
-#: Characters that one row gives to a dictionary, at most, and bytes of a dictionary.
-ROW_CHARS, DICT_BYTES = 1200, 110 << 10
+#: A text of more characters than these passages hold gives so many, evenly over its whole length; bytes of a dictionary at most, shared
+#: evenly by the rows that have more than their share.
+PASSAGES, PASSAGE_CHARS, DICT_BYTES = 4, 300, 110 << 10
 BLOCK_BYTES = 4096
 LEVEL = 5
 #: A text is rejected if the runner-up is larger by less than this share of the smallest size.
@@ -55,7 +56,7 @@ class Model:
 def fit(docs: DataFrame, slots: int = SLOTS) -> Model:
     """Dictionaries from learnable rows (doc_id not held out) with a lang and a text.
 
-    The sample is bounded: SLOTS rows a language, ROW_CHARS characters each, are fetched; which
+    The sample is bounded: SLOTS rows a language, PASSAGES x PASSAGE_CHARS characters each, are fetched; which
     ones they are depends on hashes of doc_id over all rows. Frequencies count all rows.
     """
     known = docs.select("doc_id", "lang", "text").where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN))
@@ -69,13 +70,31 @@ def fit(docs: DataFrame, slots: int = SLOTS) -> Model:
         frequent[r["lang"]] = frequent.get(r["lang"], 0) + r["n"]
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(r["lang"], r["first"]) for r in rows], "lang string, mixed bigint")
-    texts = known.select("lang", mixed.alias("mixed"), F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, ROW_CHARS).alias("text"))
+    texts = known.select("lang", mixed.alias("mixed"), _passages(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
     # The wanted rows are bounded by languages x slots, so they are safe to broadcast.
     got = texts.join(F.broadcast(wanted), ["lang", "mixed"]).groupBy("lang", "mixed").agg(F.min("text").alias("text")).orderBy("lang", "mixed").collect()
-    filled = {lang: b"" for lang in sorted(frequent, key=lambda x: (-frequent[x], x))}
+    filled: dict[str, list[bytes]] = {lang: [] for lang in sorted(frequent, key=lambda x: (-frequent[x], x))}
     for r in got:
-        filled[r["lang"]] += plain(r["text"]) + b" "
-    return Model({lang: text[:DICT_BYTES] for lang, text in filled.items() if text.strip()})
+        filled[r["lang"]].append(plain(r["text"]) + b" ")
+    return Model({lang: text for lang, rows in filled.items() if (text := _shared(rows, DICT_BYTES)).strip()})
+
+
+def _passages(text: Column) -> Column:
+    """A text, or passages at even distances from its beginning to its end."""
+    n = F.char_length(text)
+    cut = [F.substring(text, (F.lit(k) * (n - PASSAGE_CHARS) / (PASSAGES - 1)).cast("int") + 1, F.lit(PASSAGE_CHARS)) for k in range(PASSAGES)]
+    return F.when(n <= PASSAGES * PASSAGE_CHARS, text).otherwise(F.concat_ws(" ", *cut))
+
+
+def _shared(rows: list[bytes], most: int) -> bytes:
+    """The rows one after another in `most` bytes: short ones whole, longer ones cut to the same length."""
+    share, left = most, most
+    for k, n in enumerate(sorted(map(len, rows))):
+        share = left // (len(rows) - k)
+        if n > share:
+            break
+        left, share = left - n, n
+    return b"".join(r[:share] for r in rows)
 
 
 class Compressors:
@@ -111,7 +130,8 @@ def identified(docs: DataFrame, model: Model, margin: float = MARGIN, keep: list
 
     lang_pred is one of the model's languages; "und" with score 0 where the text is null or has no
     letter, or nothing was learned. rejected: the margin is narrow, or lang_pred is "und". Null
-    ids are not held out; every row comes back once, repeated or not; other columns are ignored.
+    ids are not held out; every row comes back once, repeated or not; ties go to the more frequent language; texts of
+    any length are read whole; other columns are ignored; an empty table gives an empty table.
     """
     keep = keep or []
     languages = model.languages
@@ -140,7 +160,11 @@ def identified(docs: DataFrame, model: Model, margin: float = MARGIN, keep: list
 
 
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The documents that language identification does not reject, with all their columns."""
+    """The documents that language identification does not reject, with all their columns.
+
+    Null, empty and letterless texts are rejected; rows with null ids and repeated rows are judged each by its text;
+    columns may have any names; an empty table gives an empty table.
+    """
     model = model or fit(docs)
     # Columns travel under names of their own, so that none clashes with the result's.
     names = {c: f"_column_{k}" for k, c in enumerate(docs.columns) if c != "doc_id"}

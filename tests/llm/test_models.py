@@ -187,3 +187,39 @@ def test_html_edges(spark):
     assert len(got) == len(odd) + 2 and got[0] == got[1] == got[9] == "" and got[11] == got[14] == "One Two three four"
     assert [b.text for b in html_text.blocks(odd[10])] == ["& é&bogus;"] and len(html_text.blocks(odd[13])[0].text) == 239_999
     assert html_text.extracted(pages.limit(0)).count() == 0
+
+
+def test_dictionaries_take_passages_of_whole_texts():
+    rows = [b"a" * n for n in (5, 10, 100, 200, 300)]
+    assert language._shared(rows, 1000) == b"".join(rows) and language._shared([], 9) == b""
+    assert len(language._shared(rows, 315)) == 315 and len(language._shared([b"x" * 50] * 10, 105)) == 100
+
+
+def test_language_against_plain_compression(spark):
+    """Sizes and decisions by zstandard alone, block by block; passages over the whole of a long text."""
+    import re
+
+    import zstandard
+
+    r = random.Random(4)
+    say = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    tongues = {"aa": "alpha beta gamma delta epsilon zeta".split(), "bb": "ein zwei drei vier fünf sechs".split(), "cc": "un deux trois quatre cinq six".split()}
+    rows = [(k, say(tongues[lang], r.choice((3, 40, 400))), lang) for k in range(150) for lang in [r.choice(list(tongues))]]
+    rows += [(150, "x", None), (151, None, "aa"), (152, "", "bb"), (153, "12 !", "cc"), (154, say(tongues["aa"] + tongues["bb"], 300), None), (155, "head " * 300 + "zzztail " * 300, "cc")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.fit(docs)
+    if not held(155):
+        assert b"head" in model.dictionaries["cc"] and b"zzztail" in model.dictionaries["cc"]
+    for x in language.identified(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        text = x["text"] or ""
+        if not re.search(r"[^\W\d_]", text):
+            assert (x["lang_pred"], x["score"], x["rejected"]) == ("und", 0.0, True)
+            continue
+        data, sizes = " ".join(re.findall(r"[a-z\x80-\U0010ffff]+", text.lower())).encode(), {}
+        for lang, known in model.dictionaries.items():
+            packer = zstandard.ZstdCompressor(level=5, dict_data=zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(packer.compress(data[k : k + 4096])) for k in range(0, len(data), 4096))
+        best = min(sizes, key=lambda lang: (sizes[lang], list(sizes).index(lang)))
+        runner = min(n for lang, n in sizes.items() if lang != best)
+        score = 1 / (1 + sum(np.exp(-40.0 * min((n - sizes[best]) / len(text.encode()), 10)) for lang, n in sizes.items() if lang != best))
+        assert x["lang_pred"] == best and x["rejected"] == (runner - sizes[best] < 0.005 * sizes[best]) and x["score"] == pytest.approx(score)
