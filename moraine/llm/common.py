@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import tempfile
@@ -86,5 +87,25 @@ def beside(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(small) if small.count() * ROW_BYTES <= limit else small.hint("merge")
 
 
+def kept_rows(docs: DataFrame, verdicts: DataFrame, identity: dict[str, Column]) -> DataFrame:
+    """The rows of docs that stay, with all their columns.
+
+    verdicts (staged): one row for each identity, with kept and copies (rows of that identity); of a kept one with
+    several copies one stays. identity: columns of docs under the names that they have in verdicts. What goes is told by a
+    narrow table, so texts move only where that is too large to be sent to where they are.
+    """
+
+    def same(some: DataFrame) -> tuple[DataFrame, Column]:
+        named = beside(some.select(*[F.col(c).alias(f"_{c}_") for c in identity]))
+        return named, functools.reduce(Column.__and__, [c.eqNullSafe(named[f"_{n}_"]) for n, c in identity.items()])
+
+    out = docs.join(*same(verdicts.where("not kept")), "left_anti")
+    repeated = verdicts.where("kept and copies > 1")
+    if repeated.isEmpty():
+        return out
+    again = out.join(*same(repeated), "left_semi").select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.struct(*[c.alias(n) for n, c in identity.items()]).alias("same"))
+    return out.join(*same(repeated), "left_anti").unionByName(again.dropDuplicates(["same"]).select("row.*"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import id_type, map_batches, staged
+from moraine.llm.common import id_type, kept_rows, map_batches, staged
 
 WINDOW = 10
 SLOP = 1
@@ -311,11 +311,11 @@ def _merged(all_spans):
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any benchmark window, with all their columns.
 
-    A document is told by (doc_id, text), so that rows that share an id are judged apart.
+    A document is told by (doc_id, text), so that rows that share an id are judged apart. Null and empty texts hold no
+    window and stay, as do all rows where the benchmark is empty; rows with null ids and repeated rows are judged each
+    by its text; texts are read whole; columns may have any names; an empty table gives an empty table.
     """
     sha = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
     named = docs.select(F.struct(docs["doc_id"].alias("id"), sha.alias("sha")).alias("doc_id"), docs["text"])
-    dirty = contaminated(named, benchmark).where("contaminated").select(F.col("doc_id.id").alias("_id"), F.col("doc_id.sha").alias("_sha")).distinct()
-    dirty = staged(dirty, "contaminated")
-    # What is dropped grows with the input, so it is joined by a shuffle at any size.
-    return docs.join(dirty.hint("merge"), docs["doc_id"].eqNullSafe(dirty["_id"]) & (sha == dirty["_sha"]), "left_anti")
+    dirty = contaminated(named, benchmark).where("contaminated").select("doc_id.id", "doc_id.sha", F.lit(False).alias("kept"), F.lit(1).alias("copies")).distinct()
+    return kept_rows(docs, staged(dirty, "contaminated"), {"id": docs["doc_id"], "sha": sha})

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moraine.llm.common import BROADCAST_BYTES, beside, staged
+from moraine.llm.common import BROADCAST_BYTES, beside, kept_rows, staged
 
 #: From a normalised text to its 64-bit key.
 Hash = Callable[[Column], Column]
@@ -174,17 +174,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     is met stays. A null text counts as empty; texts of any length are read whole; an empty table gives an empty one.
     """
     rows = staged(resolved(docs).groupBy("doc_id", "sha", "n").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("copies")), "resolved")
-    text, norm = F.col("text"), normalised(F.col("text"))
-
-    def same(some: DataFrame) -> tuple[DataFrame, list[Column]]:
-        named = beside(some.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("n").alias("_n")))
-        return named, [docs["doc_id"].eqNullSafe(named["_id"]), digest(normalised(docs["text"])) == named["_sha"], _size(docs["text"]) == named["_n"]]
-
-    # What goes is told by a narrow table, so texts move only where that is too large to be sent to where they are.
-    out = docs.join(*same(rows.where("not kept")), "left_anti")
-    repeated = rows.where("kept and copies > 1")
-    if repeated.isEmpty():
-        return out
-    once = out.join(*same(repeated), "left_anti")
-    again = out.join(*same(repeated), "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct("doc_id", digest(norm).alias("sha"), _size(text).alias("n")).alias("same"))
-    return once.unionByName(again.dropDuplicates(["same"]).select("row.*"))
+    return kept_rows(docs, rows, {"doc_id": docs["doc_id"], "sha": digest(normalised(docs["text"])), "n": _size(docs["text"])})

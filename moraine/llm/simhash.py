@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import id_type, map_batches, parts_for, staged
+from moraine.llm.common import id_type, kept_rows, map_batches, parts_for, staged
 from moraine.llm.graph import components
 
 RADIUS = 4
@@ -70,14 +70,15 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint as a signed 64-bit integer."""
+    """(doc_id, fp, key) for every row; fp is the fingerprint as a signed 64-bit integer, key a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], ["doc_id", "fp", "key"])
 
-    return map_batches(docs.select("doc_id", F.col("text").cast("string")), run, f"doc_id {id_type(docs)}, fp bigint")
+    text = F.col("text").cast("string")
+    return map_batches(docs.select("doc_id", text, F.xxhash64(text)), run, f"doc_id {id_type(docs)}, fp bigint, key bigint")
 
 
 class BKForest:
@@ -249,14 +250,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard_keys: int = SHARD_KEY
     return out.unionByName(cut.groupBy(*shard, "i", "j").applyInArrow(_search_parts, "a bigint, b bigint"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """One row for each document: doc_id, fingerprint (16 hex digits), component_id.
-
-    component_id is the smallest doc_id reachable over links of fingerprints that differ in
-    `radius` bits at most. Null and blank texts have fingerprint 0, which links like any other.
-    Null ids keep their row and are passed over when the smallest is taken; repeated rows each
-    come back. Other columns are ignored; an empty table gives an empty table.
-    """
+def _labelled(docs: DataFrame, radius: int, shard_keys: int) -> DataFrame:
+    """(doc_id, fp, key, root, component_id) for every row; root names the component by one of its fingerprints."""
     fps = staged(fingerprints(docs), "fingerprints")
     distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     found = staged(links(distinct, radius, shard_keys), "links")
@@ -264,17 +259,37 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_keys: int = SHA
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     rooted = staged(rooted, "roots")
     names = staged(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "names")
-    named = staged(rooted.join(names, "root").select("fp", "component_id"), "named")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(staged(rooted.join(names, "root").select("fp", "root", "component_id"), "named"), "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """One row for each document: doc_id, fingerprint (16 hex digits), component_id.
+
+    component_id is the smallest doc_id reachable over links of fingerprints that differ in
+    `radius` bits at most. Null and blank texts have fingerprint 0, which links like any other.
+    Null ids keep their row and are passed over when the smallest is taken; repeated rows each
+    come back; texts of any length are read whole. Other columns are ignored; an empty table gives an empty table.
+    """
+    return _labelled(docs, radius, shard_keys).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
+def representatives(docs: DataFrame, exactly_one: bool = False) -> DataFrame:
     """One document of each component, with all its columns: the one with the smallest doc_id.
 
-    Documents are told by doc_id: rows that repeat the id that stays all stay, as do rows without an id. Which of
-    such rows to keep is for exact de-duplication to say.
+    exactly_one: rows without an id come last in their component, ties go to the least hash of the text, and one of rows
+    that repeat both stays, so that each component keeps one row. Else documents are told by doc_id alone: rows that
+    repeat the id that stays all stay, as do rows without an id. Null and blank texts are near copies of one another. An
+    empty table gives an empty table.
     """
-    found = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = staged(found, "kept")
-    # What is kept grows with the input, so it is joined by a shuffle at any size.
-    return docs.join(kept.hint("merge"), docs["doc_id"] == kept["_id"], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
+    found = _labelled(docs, RADIUS, SHARD_KEYS)
+    if exactly_one:
+        found = staged(found.groupBy("doc_id", "key", "root").agg(F.count("*").alias("copies")), "labelled")
+        one = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+        best = staged(found.groupBy("root").agg(F.min(one).alias("best")), "best")
+        kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))
+        verdicts = found.join(best, "root").select("doc_id", "key", "copies", kept.alias("kept"))
+        return kept_rows(docs, staged(verdicts, "verdicts"), {"doc_id": docs["doc_id"], "key": F.xxhash64(docs["text"].cast("string"))})
+    verdicts = found.where("doc_id is not null").select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), F.lit(1).alias("copies")).distinct()
+    # An id of several rows stays if one of them does.
+    verdicts = verdicts.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.max("copies").alias("copies"))
+    return kept_rows(docs, staged(verdicts, "verdicts"), {"doc_id": docs["doc_id"]})

@@ -114,6 +114,20 @@ def test_representatives(odd, none):
     assert simhash.representatives(none).count() == 0 and simhash.near_duplicates(none).count() == 0
 
 
+def test_one_row_of_each_component(odd, none):
+    docs = odd.collect()
+    fps = {slow_fingerprint(r["text"]) for r in docs}
+    label = slow_components(fps, [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4])
+    least = {}
+    for r in docs:
+        root = label[slow_fingerprint(r["text"])]
+        least[root] = min(least.get(root, (True, 0)), (r["doc_id"] is None, r["doc_id"] or 0))
+    kept = simhash.representatives(odd, exactly_one=True)
+    got = kept.collect()
+    assert kept.columns == odd.columns and sorted((label[slow_fingerprint(r["text"])], r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted((k, *v) for k, v in least.items())
+    assert simhash.representatives(none, exactly_one=True).count() == 0
+
+
 def test_components_of_chains_and_hubs(spark):
     pairs = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(5, 5), (None, 3), (7, 200)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}

@@ -217,3 +217,17 @@ def test_pipeline_stages_on_odd_tables(spark, odd, none):
                 assert name == "bpe" or out.columns == docs.columns
                 assert out.count() <= docs.count()
     assert exact.deduplicated(odd).where("doc_id = 3").count() == 1
+
+
+def test_pipeline_on_an_empty_and_on_an_odd_table(spark, odd, none, tmp_path):
+    """run() and the benchmark stage over tables with nulls, repeated rows and columns whose names clash, and over none at all."""
+    import corpus_pipeline
+
+    bench = spark.createDataFrame([(1, odd.where("doc_id = 7").first()["text"]), (2, None)], "item_id bigint, text string")
+    for name, docs in (("odd", odd), ("none", none)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        clean = corpus_pipeline.benchmark_stage(spark, docs, f"{tmp_path}/{name}")
+        assert clean.columns == docs.columns and clean.count() == docs.count() - (name == "odd")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert len(out) == len({r["ids_sha256"] for r in out}) and (len(out) > 5) == (name == "odd") and 7 not in {r["doc_id"] for r in out}
