@@ -13,27 +13,31 @@ from moraine.llm.common import documents, staged
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; those rejected go."""
+    """Documents whose language is identified; those rejected go, as do null, empty and letterless texts.
+
+    As in all stages: rows with null ids and repeated rows are judged each by its text, texts are read whole, columns may
+    have any names, and an empty table gives an empty table.
+    """
     return language.accepted(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts; null and empty texts are one group, ties go to the smallest doc_id, nulls last."""
     return exact.deduplicated(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    return simhash.representatives(docs)
+    """One document of each group of near duplicates: the one with the smallest doc_id, nulls last. Blank texts are one group."""
+    return simhash.representatives(docs, exactly_one=True)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
+    """Documents without a benchmark window; null texts hold none. An empty benchmark lets all pass."""
     return contamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document that is left."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document that is left, one row for each; a null text is empty."""
     return bpe.encoded(docs)
 
 
