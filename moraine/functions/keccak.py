@@ -5,6 +5,8 @@ Bloom filters of the compatible format take 8k bytes at a rate of 200 - 16k.
 
 from __future__ import annotations
 
+import numpy as np
+
 MASK = (1 << 64) - 1
 
 
@@ -60,3 +62,41 @@ def keccak(data: bytes, size: int, rate: int | None = None) -> bytes:
             lanes[k % 5, k // 5] ^= int.from_bytes(padded[at + 8 * k : at + 8 * k + 8], "little")
         lanes = permute(lanes)
     return b"".join(lanes[k % 5, k // 5].to_bytes(8, "little") for k in range(25))[:size]
+
+
+def _turned(v: np.ndarray, n: int) -> np.ndarray:
+    return v << np.uint64(n) | v >> np.uint64(64 - n) if n else v
+
+
+def keccak_many(items: list[bytes], size: int, rate: int | None = None) -> np.ndarray:
+    """keccak() of many items at once, one a row of bytes: the sponge's lanes are arrays over the items."""
+    rate = rate or 200 - 2 * size
+    out = np.zeros((len(items), size), np.uint8)
+    blocks = np.array([len(x) // rate + 1 for x in items], np.int64)
+    for n in np.unique(blocks).tolist():  # items of as many blocks are padded and permuted together
+        rows = np.flatnonzero(blocks == n)
+        padded = np.zeros((len(rows), n * rate), np.uint8)
+        for k, i in enumerate(rows.tolist()):
+            padded[k, : len(items[i])] = np.frombuffer(items[i], np.uint8)
+            padded[k, len(items[i])] = 0x06
+        padded[:, -1] |= 0x80
+        words = padded.view("<u8").astype(np.uint64).reshape(len(rows), n, rate // 8)
+        lanes = [[np.zeros(len(rows), np.uint64) for _ in range(5)] for _ in range(5)]  # [x][y]
+        for block in range(n):
+            for k in range(rate // 8):
+                lanes[k % 5][k // 5] = lanes[k % 5][k // 5] ^ words[:, block, k]
+            lanes = _permuted(lanes)
+        flat = np.stack([lanes[k % 5][k // 5] for k in range(-(-size // 8))], 1).astype("<u8")
+        out[rows] = flat.view(np.uint8)[:, :size]
+    return out
+
+
+def _permuted(lanes: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+    five = range(5)
+    for constant in CONSTANTS:
+        column = [np.bitwise_xor.reduce(lanes[x]) for x in five]
+        mix = [column[x - 1] ^ _turned(column[(x + 1) % 5], 1) for x in five]
+        moved = {(y, (2 * x + 3 * y) % 5): _turned(lanes[x][y] ^ mix[x], OFFSETS[x, y]) for x in five for y in five}
+        lanes = [[moved[x, y] ^ (~moved[(x + 1) % 5, y] & moved[(x + 2) % 5, y]) for y in five] for x in five]
+        lanes[0][0] = lanes[0][0] ^ np.uint64(constant)
+    return lanes

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moraine.functions.keccak import keccak
+from moraine.functions.keccak import keccak, keccak_many
 
 #: Hash functions of a snapshot's filter, and of the small filter over the filters themselves.
 K, K_FILTERS = 3, 8
@@ -44,13 +45,23 @@ def positions(item: bytes, head: bytes, n_bytes: int) -> list[int]:
 
 
 def bits(item: Column, head: bytes, n_bytes: int) -> Column:
+    """The bits of each item, a batch at a time."""
+    k = head[31]
+
     @F.pandas_udf("array<bigint>")
     def of(items: pd.Series) -> pd.Series:
-        return items.map(lambda x: positions(x, head, n_bytes))
+        words = keccak_many([head + x for x in items], 8 * k, 200 - 16 * k).view("<u8")
+        return pd.Series(list((words % np.uint64(8 * n_bytes)).astype(np.int64)), index=items.index)
 
     return of(item)
 
 
+def sha_bits(item: Column, k: int, n_bytes: int) -> Column:
+    """Bits from the SHA-256 of a text, in steps of 15 hexadecimal digits, inside the JVM; k is 4 at most. Any engine with SHA-256 can ask the filter."""
+    sha = F.sha2(item, 256)
+    return F.array(*[F.pmod(F.conv(F.substring(sha, 1 + 15 * i, 15), 16, 10).cast("bigint"), F.lit(8 * n_bytes)) for i in range(k)])
+
+
 def fast_bits(item: Column, k: int, n_bytes: int, seed: int = 0) -> Column:
     """Bits by xxHash, inside the JVM, for filters that need not be read elsewhere."""
     return F.array(*[F.pmod(F.xxhash64(F.lit(seed * 64 + i), item), F.lit(8 * n_bytes)) for i in range(k)])

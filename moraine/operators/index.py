@@ -1,14 +1,20 @@
 """Keyed tables with last-write-wins updates, published atomically.
 
-A store holds versions v-N of the tables inodes, deps, blocks and meta; a file CURRENT names the
-published one. A backup writes v-pending; commit renames it and moves the pointer, abort removes it.
+A store holds versions v-N of the tables inodes, deps, blocks and meta; the greatest is the published one.
+A backup writes v-pending and marks it as complete; commit renames it, which is its only step, and abort
+removes it. A reader sees the old version or the new one, whenever it or the commit is interrupted. (On a store
+whose renames are copies, commit from one place at a time.)
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A file that ends a version: all its tables are written.
+COMPLETE = "_COMPLETE"
 SCHEMAS = {
     "inodes": "dev_label string, ino decimal(20,0), blob_id binary",
     "deps": "dev_label string, ino decimal(20,0), block bigint, clear_hash binary",
@@ -48,9 +54,12 @@ class IndexTables:
         return self._fs.exists(self._paths(self._at(name)))
 
     def current(self) -> str | None:
-        if not self.exists("CURRENT"):
+        """The published version, the greatest there is."""
+        if not self._fs.exists(self._paths(self.path)):
             return None
-        return self.spark.read.text(self._at("CURRENT")).first()[0]
+        names = [str(s.getPath().getName()) for s in self._fs.listStatus(self._paths(self.path))]
+        found = [int(n[2:]) for n in names if re.fullmatch(r"v-[0-9]+", n)]
+        return f"v-{max(found)}" if found else None
 
     def read(self, table: str) -> DataFrame:
         """A table of the published version; an empty one before the first commit."""
@@ -65,20 +74,18 @@ class IndexTables:
             raise FileExistsError("a pending index exists; commit or abort it first")
         for name, df in tables.items():
             df.select([F.col(f.split()[0]).cast(f.split(" ", 1)[1]).alias(f.split()[0]) for f in SCHEMAS[name].split(", ")]).write.parquet(self._at(f"v-pending/{name}"))
+        self._fs.create(self._paths(self._at(f"v-pending/{COMPLETE}")), True).close()
 
     def commit(self) -> bool:
-        """Publish the pending version; without one nothing happens."""
+        """Publish the pending version; without one nothing happens. One that was not written to its end is refused."""
         if not self.exists("v-pending"):
             return False
+        if not self.exists(f"v-pending/{COMPLETE}"):
+            raise RuntimeError("the pending index is not complete; abort it")
         version = f"v-{int((self.current() or 'v-0')[2:]) + 1}"
-        self._fs.rename(self._paths(self._at("v-pending")), self._paths(self._at(version)))
-        # The pointer is written beside its place and renamed over it: readers see the old version or the new.
-        self._fs.delete(self._paths(self._at("CURRENT.new")), True)
-        out = self._fs.create(self._paths(self._at("CURRENT.new")), True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        self._fs.delete(self._paths(self._at("CURRENT")), False)
-        return self._fs.rename(self._paths(self._at("CURRENT.new")), self._paths(self._at("CURRENT")))
+        if not self._fs.rename(self._paths(self._at("v-pending")), self._paths(self._at(version))):
+            raise OSError(f"the pending index could not be renamed to {version}")
+        return True
 
     def abort(self) -> bool:
         return self.exists("v-pending") and self._fs.delete(self._paths(self._at("v-pending")), True)

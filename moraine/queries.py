@@ -134,11 +134,12 @@ def changed_inodes(spark, sf_dir):
     return _classified(spark, sf_dir).select("o_orderkey", "reuse", "blob_id")
 
 
-@query(f"WITH {_INODES}, {_REUSE} SELECT l_orderkey AS o_orderkey, l_linenumber AS block, l_partkey, l_partkey % 50 = 0 AS is_missing FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM r WHERE reuse)")
+@query(f"""WITH {_INODES}, {_REUSE} SELECT l_orderkey AS o_orderkey, l_linenumber AS block, l_partkey, l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5) AS is_missing
+           FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM r WHERE reuse)""")
 def carry_forward(spark, sf_dir):
     unchanged = _classified(spark, sf_dir).where("reuse")
     deps = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("block"), "l_partkey")
-    known = deps.where("l_partkey % 50 <> 0").select("l_partkey")
+    known = _table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"))
     return diff.carried(unchanged, deps, known, ["o_orderkey"], "l_partkey").select("o_orderkey", "block", "l_partkey", "is_missing")
 
 
@@ -323,13 +324,16 @@ def gc_any_of(spark, sf_dir):
     return gc.garbage(found.select("id").distinct(), [found.where("doc_id % 3 = 0"), found.where("doc_id % 5 = 0")])
 
 
-@query()
+@query(f"""WITH {_BLOCKS}, live AS (SELECT DISTINCT hash FROM h WHERE doc_id % 3 = 0), m AS (SELECT 8 * (count(*) // 2 + 1) AS bits FROM live),
+        p AS (SELECT hash, CAST('0x' || substr(sha256(hash), 1 + 15 * i, 15) AS BIGINT) % (SELECT bits FROM m) AS p FROM (SELECT DISTINCT hash FROM h), (VALUES (0), (1), (2)) v(i)),
+        held AS (SELECT DISTINCT p FROM p WHERE hash IN (SELECT hash FROM live))
+        SELECT hash AS id FROM p GROUP BY hash HAVING count(*) FILTER (p NOT IN (SELECT p FROM held)) > 0""")
 def gc_bloom(spark, sf_dir):
     """What the filter of every third document's blocks lets a collection remove: no live block, and most of the others."""
     found = _hashed(spark, sf_dir).select(F.col("hash").alias("id"), "doc_id")
     ids, live = found.select("id").distinct(), found.where("doc_id % 3 = 0").select("id").distinct()
     n_bytes = gc.filter_bytes(live.count())
-    bits = gc.fast_bits(F.col("id"), gc.K, n_bytes)
+    bits = gc.sha_bits(F.col("id"), gc.K, n_bytes)
     return ids.join(gc.matching(ids, bits, gc.build(live, bits)), "id", "left_anti")
 
 
@@ -346,11 +350,11 @@ def fanout_histogram(spark, sf_dir):
     return _hashed(spark, sf_dir).select("hash").distinct().groupBy(F.substring("hash", 1, 3).alias("prefix")).agg(F.count("*").alias("objects"))
 
 
-@query("SELECT doc_id, doc_id % 10 <> 0 AS is_intact FROM documents")
+@query("SELECT doc_id, sha256(encode(text) || CASE WHEN doc_id % 10 = 0 THEN 'x'::BLOB ELSE ''::BLOB END) AS digest, sha256(encode(text)) = digest AS is_intact FROM documents")
 def integrity_check(spark, sf_dir):
     stored = _files(spark, sf_dir).withColumn("id", F.sha2("content", 256))
     damaged = F.when(F.col("doc_id") % 10 == 0, F.concat("content", F.encode(F.lit("x"), "UTF-8"))).otherwise(F.col("content"))
-    return stored.select("doc_id", (F.sha2(damaged, 256) == F.col("id")).alias("is_intact"))
+    return stored.select("doc_id", F.sha2(damaged, 256).alias("digest"), (F.sha2(damaged, 256) == F.col("id")).alias("is_intact"))
 
 
 def _summaries(spark, sf_dir):

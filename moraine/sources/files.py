@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import stat
 import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -98,10 +99,13 @@ class Written(WriterCommitMessage):
 
 
 class ArchiveWriter(DataSourceWriter):
-    """Each task writes an archive of (name, content) rows under a temporary name; the commit renames them all."""
+    """Each task writes an archive of (name, content) rows under a temporary name; the commit renames them all.
+
+    Attempt numbers begin anew in every application, so names hold a number of the write as well.
+    """
 
     def __init__(self, folder: str):
-        self.folder = folder
+        self.folder, self.run = folder, uuid.uuid4().hex[:12]
 
     def write(self, rows: Iterator) -> Written:
         from pyspark import TaskContext
@@ -112,7 +116,7 @@ class ArchiveWriter(DataSourceWriter):
         with os.fdopen(handle, "wb") as f:
             for row in rows:
                 f.write(tar_record(row["name"], bytes(row["content"])))
-        return Written(temporary, f"{self.folder}/part-{task.taskAttemptId():05d}.tar")
+        return Written(temporary, f"{self.folder}/part-{self.run}-{task.taskAttemptId():05d}.tar")
 
     def commit(self, messages: list) -> None:
         for m in messages:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from moraine import __main__ as cli
 from moraine.functions import crypto, globs, hashing
-from moraine.functions.keccak import keccak
+from moraine.functions.keccak import keccak, keccak_many
 from moraine.operators import chunk, gc, retention
 from moraine.operators.index import IndexTables
 from moraine.plans.snapshots import Config, Repository, write_files
@@ -286,3 +286,57 @@ def test_names(spark):
     text = one.select(formats.summary_name(F.lit("demo"), F.col("sec"), F.col("nsec"))).first()[0]
     assert text == "demo-2024-01-01T000000.000000123Z.txt"
     assert re.fullmatch(r"objects/abc/abc\w*", one.select(hashing.object_path(F.lit("abcdef"))).first()[0])
+
+
+def test_sponge_over_batches():
+    r = random.Random(1)
+    items = [r.randbytes(n) for n in (0, 1, 7, 71, 72, 103, 104, 135, 136, 143, 144, 500, 28, 28)]
+    for size, rate in ((28, None), (64, None), (24, 152), (64, 72)):
+        assert [x.tobytes() for x in keccak_many(items, size, rate)] == [keccak(x, size, rate) for x in items]
+    assert keccak_many([], 28).shape == (0, 28)
+
+
+def test_sha3_blocks_against_hashlib(spark):
+    size = chunk.content_size(4000)
+    want = []
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect():
+        data = r["text"].encode()
+        want += [(r["doc_id"], k, hashlib.sha3_224(b"blk\0" + data[k * size : (k + 1) * size]).hexdigest()) for k in range(-(-len(data) // size))]
+    assert sorted(map(tuple, QUERIES["sha3_blocks"](spark, DATA).collect())) == sorted(want)
+
+
+def test_commit_that_is_interrupted(spark, tmp_path, monkeypatch):
+    """Whatever step a commit or a stage stops at, readers see a whole version, and it can be tried again."""
+    index = IndexTables(spark, str(tmp_path / "index"))
+    meta = lambda n: {"meta": spark.createDataFrame([(n, 0)], "sec bigint, nsec int")}
+    index.stage(meta(1))
+    index.commit()
+    index.stage(meta(2))
+    steps = ["exists", "current"]
+    for step in steps:
+        with monkeypatch.context() as m:
+            m.setattr(index, step, lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+            with pytest.raises(KeyboardInterrupt):
+                index.commit()
+        assert IndexTables(spark, index.path).read("meta").first()["sec"] == 1
+    assert index.commit() and IndexTables(spark, index.path).read("meta").first()["sec"] == 2
+    os.makedirs(tmp_path / "index/v-pending/meta")
+    with pytest.raises(RuntimeError):
+        index.commit()
+    assert index.read("meta").first()["sec"] == 2 and index.abort() and index.current() == "v-2"
+
+
+def test_archives_of_two_writes_are_kept_apart(tmp_path, monkeypatch):
+    """Task numbers begin anew in each application; archives of an earlier one stay."""
+    import tarfile
+
+    import pyspark
+
+    class Task:
+        taskAttemptId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: Task))
+    for k in range(2):
+        writer = files.ArchiveWriter(str(tmp_path))
+        writer.commit([writer.write(iter([{"name": f"objects/{k}", "content": b"x"}]))])
+    assert sorted(tarfile.open(tmp_path / n).getnames()[0] for n in os.listdir(tmp_path)) == ["objects/0", "objects/1"]
