@@ -189,9 +189,24 @@ def tree_dirty(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_CLOSURE} SELECT top AS id, count(*) AS n_nodes, CAST(sum(cents) AS BIGINT) AS cents FROM up GROUP BY top")
 def subtree_size(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir)
-    cents = tree.totals(nodes, F.col("cents"), 4).select("id", F.col("value").alias("cents"))
-    return tree.totals(nodes, F.lit(1).cast("bigint"), 4).select("id", F.col("value").alias("n_nodes")).join(cents, "id")
+    both = F.struct(F.lit(1).cast("bigint").alias("n_nodes"), F.col("cents").alias("cents"))
+    return tree.totals(_nodes(spark, sf_dir), both, 4).select("id", "value.n_nodes", "value.cents")
+
+
+@query("""SELECT DISTINCT 'c' || o_custkey AS id FROM orders WHERE o_orderkey % 9 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)""")
+def exclude_marks_parent(spark, sf_dir):
+    gone = _nodes(spark, sf_dir).where("depth = 4").withColumn("key", F.substring("id", 2, 20).try_cast("bigint")).where("key % 9 = 0")
+    return tree.marked_parents(gone, _table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("key")), ["key"])
+
+
+@query("""WITH f AS (SELECT doc_id, '/' || source || '/' || lang || '/' AS d, '/' || source || '/' || lang || '/' || doc_id || '.txt' AS p FROM documents),
+        t AS (SELECT d, md5(split_part(d, '/', 3)) AS ino, row_number() OVER (PARTITION BY split_part(d, '/', 3) ORDER BY d) AS n FROM (SELECT DISTINCT d FROM f))
+        SELECT p AS path FROM f JOIN t USING (d) WHERE n = 1 UNION ALL SELECT d FROM t WHERE n = 1""")
+def visited_directories(spark, sf_dir):
+    """Directories of one language count as one directory that is met again and again."""
+    files = _files(spark, sf_dir).select("path", F.lit("reg").alias("kind"), F.lit(None).cast("string").alias("ino"), "lang")
+    folders = _files(spark, sf_dir).select(F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/")).alias("path"), F.lit("dir").alias("kind"), F.md5("lang").alias("ino"), "lang").distinct()
+    return tree.visited_once(files.unionByName(folders), ["ino"])[0].select("path")
 
 
 _ROLL = """

@@ -340,3 +340,39 @@ def test_archives_of_two_writes_are_kept_apart(tmp_path, monkeypatch):
         writer = files.ArchiveWriter(str(tmp_path))
         writer.commit([writer.write(iter([{"name": f"objects/{k}", "content": b"x"}]))])
     assert sorted(tarfile.open(tmp_path / n).getnames()[0] for n in os.listdir(tmp_path)) == ["objects/0", "objects/1"]
+
+
+def test_deep_trees_take_plans_that_grow_with_the_depth(spark, tmp_path):
+    """A chain of 40 levels with a leaf on each: staged levels are planned once, and the digests are those of a plain recursion."""
+    from moraine.operators import tree
+
+    rows = [(f"d{k}", f"d{k - 1}" if k else None, k, f"n{k}") for k in range(41)] + [(f"l{k}", f"d{k - 1}", k, f"leaf{k}") for k in range(1, 41)]
+    nodes, count = spark.createDataFrame(rows, "id string, parent string, depth int, name string"), [0]
+
+    def stage(df):
+        count[0] += 1
+        df.write.parquet(f"{tmp_path}/{count[0]}")
+        return spark.read.schema(df.schema).parquet(f"{tmp_path}/{count[0]}")
+
+    def scans(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") + df._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation")
+
+    rolled = tree.merkle(nodes, F.col("name"), stage=stage)
+    assert count[0] == 41 and scans(rolled) <= 2 * 41
+    below = {}
+    for i, parent, _, name in sorted(rows, key=lambda r: -r[2]):
+        listed = ",".join(f"{n}:{v}" for n, v in sorted(below.pop(i, [])))
+        value = hashlib.sha256(f"{name}|{listed}".encode()).hexdigest()
+        below.setdefault(parent, []).append((name, value))
+    assert rolled.where("depth = 0").first()["value"] == below[None][0][1]
+    assert scans(tree.paths(nodes, stage=stage)) <= 2 * 41 and tree.depths(nodes) == 40
+
+
+def test_marks_and_visits(spark):
+    from moraine.operators import tree
+
+    rows = [("/", "dir", 1), ("/a/", "dir", 2), ("/a/x", "reg", 3), ("/b/", "dir", 2), ("/b/x", "reg", 3), ("/b/c/", "dir", 4), ("/c", "reg", 2), ("/d/", "dir", None), ("/e/", "dir", None)]
+    kept, skipped = tree.visited_once(spark.createDataFrame(rows, "path string, kind string, ino int"), ["ino"])
+    assert {r["path"] for r in kept.collect()} == {"/", "/a/", "/a/x", "/c", "/d/", "/e/"} and [r["path"] for r in skipped.collect()] == ["/b/"]
+    gone = spark.createDataFrame([(1, "p"), (2, "q"), (3, None), (1, "p")], "ino int, parent string")
+    assert [r["id"] for r in tree.marked_parents(gone, spark.createDataFrame([(1,), (3,)], "ino int"), ["ino"]).collect()] == ["p"]
