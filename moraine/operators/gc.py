@@ -7,6 +7,7 @@ words here: building is a shuffle with map-side bit_or, probing a join on the wo
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -81,8 +82,15 @@ def matching(ids: DataFrame, found: Column, bloom: DataFrame, key: str = "id") -
     return hit.groupBy(key).agg(F.bool_and("on").alias("on")).where("on").select(key)
 
 
+def filter_of_filters(digests: list[bytes]) -> Callable[[bytes], bool]:
+    """A small filter over the digests of filters, 16 bytes for each, which tells whether a filter is one of them. It is as long as the list of snapshots."""
+    head, n_bytes = header(K_FILTERS), max(1, 16 * len(digests))
+    held = {p for d in digests for p in positions(d, head, n_bytes)}
+    return lambda d: held.issuperset(positions(d, head, n_bytes))
+
+
 def packed(bloom: DataFrame, head: bytes, n_bytes: int) -> bytes:
-    """The filter's file: the header, then bit p in bit p mod 8 of byte p div 8. Its size is that of a file."""
+    """The filter's file, to be read elsewhere: the header, then bit p in bit p mod 8 of byte p div 8. It is made whole on the driver; snapshots keep their words as a table."""
     out = bytearray(n_bytes + 8)
     for r in bloom.toLocalIterator():
         out[8 * r["word"] : 8 * r["word"] + 8] = (r["bits"] & (1 << 64) - 1).to_bytes(8, "little")

@@ -138,6 +138,17 @@ class ArchiveSink(DataSource):
         return ArchiveWriter(self.options["path"])
 
 
+def devices(spark: SparkSession, folder: str) -> DataFrame:
+    """(dev, label) from a folder of links to places on devices: the link's name, 16 bytes at most, labels the device. Links that lead nowhere are passed over; no folder gives no rows."""
+    rows = []
+    for name in sorted(os.listdir(folder)) if os.path.isdir(folder) else ():
+        if len(name.encode()) > 16:
+            raise ValueError(f"the device name is too long: {name}")
+        if os.path.exists(f"{folder}/{name}"):
+            rows.append((os.stat(f"{folder}/{name}").st_dev, name))
+    return spark.createDataFrame(rows, "dev bigint, label string")
+
+
 def contents(spark: SparkSession, root: str) -> DataFrame:
     """path (relative to root, with a leading slash) and content of every regular file, by Spark's own source."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

@@ -77,6 +77,26 @@ def inode_fields(record: Column) -> dict[str, Column]:
     }
 
 
+# Directory listings: an id and a name ended by NUL for each entry, in name order
+
+
+def dents(name: Column, value: Column) -> Column:
+    """An aggregate: the payload of a directory's record from its entries' names and (hexadecimal) ids."""
+    each = F.array_sort(F.collect_list(F.struct(name.alias("name"), value.alias("value"))))
+    return F.unhex(F.array_join(F.transform(each, lambda e: F.concat(e["value"], F.hex(F.encode(e["name"], "UTF-8")), F.lit("00"))), ""))
+
+
+def dents_entries(payload: Column, id_bytes: int = 28) -> Column:
+    """Array of (id, name) from a payload; null if it is cut off or an entry has no name."""
+    shown = F.lower(F.hex(payload))
+    digits = 2 * id_bytes
+    entry = rf"([0-9a-f]{{{digits}}}(?:(?!00)[0-9a-f]{{2}})+00)"
+    found = F.regexp_extract_all(shown, F.lit(entry), F.lit(1))
+    name = lambda e: F.decode(F.unhex(F.substring(e, digits + 1, F.length(e) - digits - 2)), "UTF-8")
+    entries = F.transform(found, lambda e: F.struct(F.substring(e, F.lit(1), F.lit(digits)).alias("id"), name(e).alias("name")))
+    return F.when(F.length(F.array_join(found, "")) == F.length(shown), entries)
+
+
 # Archives
 
 

@@ -376,3 +376,112 @@ def test_marks_and_visits(spark):
     assert {r["path"] for r in kept.collect()} == {"/", "/a/", "/a/x", "/c", "/d/", "/e/"} and [r["path"] for r in skipped.collect()] == ["/b/"]
     gone = spark.createDataFrame([(1, "p"), (2, "q"), (3, None), (1, "p")], "ino int, parent string")
     assert [r["id"] for r in tree.marked_parents(gone, spark.createDataFrame([(1,), (3,)], "ino int"), ["ino"]).collect()] == ["p"]
+
+
+@pytest.fixture
+def home(spark, tmp_path):
+    """A tree with hard links, modes and a directory without entries; and a function that takes snapshots of it."""
+    spark.dataSource.register(files.InodeSource)
+    root = tmp_path / "home"
+    (root / "a/deep").mkdir(parents=True)
+    (root / "empty").mkdir()
+    (root / "a/big").write_bytes(os.urandom(9000))
+    (root / "a/small").write_bytes(b"hi")
+    (root / "a/deep/other").write_bytes(os.urandom(5000))
+    os.link(root / "a/big", root / "z-big")
+    os.link(root / "a/small", root / "a/deep/small too")
+    os.chmod(root / "a/big", 0o640)
+    os.chmod(root / "a/deep", 0o710)
+    os.utime(root / "a/deep", ns=(10**18, 10**18 + 123_000))
+    repo, clock = Repository(spark, str(tmp_path / "repo"), Config(label="t", block_size=4000)), [os.stat(root / "a/big").st_ctime + 100]
+
+    def take(contents=None, **more):
+        clock[0] += 10
+        return repo.backup(spark.read.format("inodes").load(str(root)), contents if contents is not None else files.contents(spark, str(root)), now=clock[0], **more)
+
+    return root, repo, take
+
+
+def test_hard_links_and_modes_come_back(home, tmp_path):
+    root, repo, take = home
+    one = take()
+    assert one["read"] == 3 and one["errors"] == 0 and repo.objects().count() == 5
+    restored = repo.restore(one["snapshot"])
+    assert {r["path"]: r["first"] for r in restored.where("is_link").collect()} == {"/z-big": "/a/big", "/a/small": "/a/deep/small too"}
+    assert restored.where("is_link and content is not null").count() == 0
+    out = tmp_path / "out"
+    assert write_files(restored, str(out)) == 0
+    assert os.stat(out / "a/big").st_ino == os.stat(out / "z-big").st_ino and os.stat(out / "a/big").st_nlink == 2
+    assert (out / "z-big").read_bytes() == (root / "z-big").read_bytes() and (out / "a/small").read_bytes() == b"hi" and (out / "empty").is_dir()
+    assert os.stat(out / "a/big").st_mode & 0o777 == 0o640 and os.stat(out / "a/deep").st_mode & 0o777 == 0o710 and os.stat(out / "a/deep").st_mtime_ns == 10**18 + 123_000
+
+
+def test_renamed_files_are_not_read_again_and_trees_are_shared(home):
+    root, repo, take = home
+    one, two = take(), take()
+    assert two["read"] == 0 and two["root"] == one["root"] and two["new_trees"] == 0 and one["new_trees"] == 4
+    os.rename(root / "a/big", root / "a/renamed")
+    later = take()
+    # A rename changes the inode's ctime, which lies before these made-up times, so the file counts as unchanged.
+    assert later["read"] == 0 and later["root"] != one["root"] and later["new_trees"] == 2
+    assert {r["path"] for r in repo.nodes(later["snapshot"]).where("kind = 'reg'").collect()} == {"/a/renamed", "/z-big", "/a/small", "/a/deep/small too", "/a/deep/other"}
+    from moraine.sources.formats import dents_entries
+
+    trees = {r["id"]: [e["name"] for e in r["e"]] for r in repo._table("trees", "id string, dents binary").select("id", dents_entries(F.col("dents"), 32).alias("e")).collect()}
+    assert trees[later["root"]] == ["a", "empty", "z-big"] and trees[one["root"]] == ["a", "empty", "z-big"] and len(trees) == 6
+
+
+def test_files_that_vanish_are_errors(home, spark):
+    root, repo, take = home
+    seen = files.contents(spark, str(root)).where("path not like '%other'")
+    one = take(seen)
+    assert one["errors"] == 1 and repo.nodes(one["snapshot"]).where("path like '%other'").count() == 0
+    assert [r["path"] for r in repo._table(f"errors/snapshot={one['snapshot']}", "path string, error string").collect()] == ["/a/deep/other"]
+    assert repo.restore(one["snapshot"]).where("not is_intact").count() == 0
+
+
+def test_contents_are_read_once(home, spark):
+    """Blocks and lists come from one pass: contents that differ each time they are read still give a snapshot that is whole."""
+    root, repo, take = home
+    noise = F.udf(lambda path: bytearray(os.urandom(9000)), "binary").asNondeterministic()
+    one = take(files.contents(spark, str(root)).select("path", noise("path").alias("content")))
+    assert repo.restore(one["snapshot"]).where("not is_intact").count() == 0 and not os.listdir(f"{repo.path}/work")
+
+
+def test_filters_and_summaries(home):
+    root, repo, take = home
+    one = take()
+    (root / "a/deep/other").write_bytes(os.urandom(6000))
+    os.utime(root / "a/deep/other", ns=(4 * 10**18, 4 * 10**18))
+    two = take()
+    exact, filtered = ({r["id"] for r in repo.prune([two["snapshot"]], filters=f).collect()} for f in (False, True))
+    assert len(exact) == 2 and filtered <= exact
+    assert repo.prune(filters=True).count() == 0 and repo.prune(invert=True, filters=True).count() == repo.objects().count()
+    assert repo.stale_filters([two["snapshot"]]) == [one["snapshot"]] and repo.stale_filters([]) == sorted([one["snapshot"], two["snapshot"]])
+    texts = {n: open(f"{repo.path}/{n}").read() for n in os.listdir(repo.path) if n.endswith("Z.txt")}
+    assert len(texts) == 2 and all(t.startswith("timestamp ") and "label t\nroot " in t and "\nbloom " in t for t in texts.values())
+    found = formats.read_summaries(repo.spark, [f"{repo.path}/{n}" for n in sorted(texts)]).orderBy("argpos").collect()
+    assert [r["root"] for r in found] == [one["root"], two["root"]]
+
+
+def test_devices(home, spark, tmp_path):
+    root, repo, take = home
+    (tmp_path / "devices").mkdir()
+    os.symlink(root, tmp_path / "devices/home")
+    os.symlink(tmp_path / "nowhere", tmp_path / "devices/gone")
+    found = files.devices(spark, str(tmp_path / "devices"))
+    assert [(r["dev"], r["label"]) for r in found.collect()] == [(os.stat(root).st_dev, "home")]
+    one = take(devices=found)
+    assert {r["dev_label"] for r in repo.nodes(one["snapshot"]).collect()} == {"home"}
+    (tmp_path / "devices/a-name-that-is-too-long").mkdir()
+    with pytest.raises(ValueError):
+        files.devices(spark, str(tmp_path / "devices"))
+    assert files.devices(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_dents(spark):
+    one = spark.createDataFrame([("b", "ab" * 28), ("aé x", "00" * 28)], "name string, value string").agg(formats.dents(F.col("name"), F.col("value")).alias("p"))
+    payload = bytes(one.first()["p"])
+    assert payload == bytes(28) + "aé x".encode() + b"\0" + b"\xab" * 28 + b"b\0"
+    rows = spark.createDataFrame([(bytearray(payload),), (bytearray(payload[:-1]),), (bytearray(),), (bytearray(payload[:28] + b"\0"),)], "p binary").select(formats.dents_entries(F.col("p")).alias("e")).collect()
+    assert [(e["id"], e["name"]) for e in rows[0]["e"]] == [("00" * 28, "aé x"), ("ab" * 28, "b")] and [r["e"] for r in rows[1:]] == [None, [], None]
