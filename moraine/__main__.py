@@ -1,11 +1,11 @@
 """Command line: python -m moraine [-C dir] command ...
 
     genkey FILE | pubkey FILE
-    init [-b SIZE] [-l LABEL] REPO
-    backup [-b SIZE] [-x] [-n] [--pending] [-e PATTERNS] REPO ROOT
+    init [-b SIZE] [-l LABEL] [-p PUBKEY] REPO
+    backup [-b SIZE] [-x] [-n] [-v] [--pending] [-e PATTERNS] REPO ROOT
     commit REPO | abort REPO
-    restore [-n] -d DEST REPO SNAPSHOT
-    prune [-v] REPO
+    restore [-n] [-v] [-S] [-k KEY] [-i] [-o] -d DEST REPO SNAPSHOT
+    prune [-v] [-f] [-s SNAPSHOT]... REPO
     cull [-d N] [-w N] [-m N] [-y N] [-v] REPO
 """
 
@@ -31,13 +31,22 @@ def parser() -> argparse.ArgumentParser:
         p[name].add_argument("repo")
     p["init"].add_argument("-b", type=int, default=262_144)
     p["init"].add_argument("-l", default="mybackup")
+    p["init"].add_argument("-p", help="file with the public key for which blocks are sealed")
     p["backup"].add_argument("root")
     p["backup"].add_argument("-b", type=int)
     p["backup"].add_argument("-x", action="store_true", help="cross devices")
     p["backup"].add_argument("-n", action="store_true", help="dry run")
     p["backup"].add_argument("--pending", action="store_true", help="leave the index pending")
     p["backup"].add_argument("-e", help="file of patterns to exclude")
+    p["backup"].add_argument("-v", action="store_true", help="list what is in the snapshot")
     p["restore"].add_argument("snapshot")
+    p["restore"].add_argument("-k", help="file with the secret key of sealed blocks")
+    p["restore"].add_argument("-S", action="store_true", help="stop before writing if a file is not intact")
+    p["restore"].add_argument("-i", action="store_true", help="report files that are not intact by path")
+    p["restore"].add_argument("-v", action="store_true", help="list what is restored")
+    p["restore"].add_argument("-o", action="store_true", help="set owners")
+    p["prune"].add_argument("-f", action="store_true", help="ask the snapshots' filters instead of their entries")
+    p["prune"].add_argument("-s", action="append", help="a snapshot to keep; all without any")
     p["restore"].add_argument("-d", help="folder to restore to")
     p["restore"].add_argument("-n", action="store_true", help="list only")
     for name in ("prune", "cull"):
@@ -71,12 +80,17 @@ def main(argv: list[str] | None = None) -> int:
     config = f"{a.repo}/config.json"
     if a.command == "init":
         content_size(a.b)
+        recipient = ""
+        if a.p:
+            with open(a.p, "rb") as f:
+                recipient = f.read(32).hex()
         os.makedirs(a.repo, exist_ok=True)
         if os.listdir(a.repo):
             print("the folder is not empty", file=sys.stderr)
             return 1
         with open(config, "x") as f:
-            json.dump(asdict(Config(label=a.l, block_size=a.b)), f)
+            json.dump(asdict(Config(label=a.l, block_size=a.b, recipient=recipient)), f)
+        os.mkdir(f"{a.repo}/devices")
         return 0
     from pyspark.sql import SparkSession
 
@@ -87,22 +101,38 @@ def main(argv: list[str] | None = None) -> int:
         settings |= {"cross_devices": a.x} | ({"block_size": a.b} if a.b else {})
     repo = Repository(spark, os.path.abspath(a.repo), Config(**settings))
     if a.command == "backup":
-        from moraine.sources.files import InodeSource, contents
+        from moraine.sources.files import InodeSource, contents, devices
 
         spark.dataSource.register(InodeSource)
         files = spark.read.format("inodes").load(os.path.abspath(a.root))
         patterns = open(a.e).read().split("\n") if a.e else None
-        print(json.dumps(repo.backup(files, contents(spark, a.root), exclude=patterns, commit=not a.pending, dry_run=a.n)))
+        done = repo.backup(files, contents(spark, a.root), devices(spark, f"{a.repo}/devices"), exclude=patterns, commit=not a.pending, dry_run=a.n)
+        if a.v and not a.n:
+            for r in repo.listing(done["snapshot"]).toLocalIterator():
+                print(r["path"])
+        print(json.dumps(done))
     elif a.command in ("commit", "abort"):
         getattr(repo, a.command)()
     elif a.command == "restore":
-        if a.n:
+        if a.n or a.v:
             for r in repo.listing(a.snapshot).toLocalIterator():
                 print(r["digest"], r["path"])
-        else:
-            return int(write_files(repo.restore(a.snapshot), os.path.abspath(a.d)) > 0)
+        if a.n:
+            return 0
+        secret = None
+        if a.k:
+            with open(a.k, "rb") as f:
+                secret = f.read(32)
+        restored = repo.restore(a.snapshot, secret)
+        if a.S or a.i:
+            damaged = [r["path"] for r in restored.where("not is_intact").select("path").toLocalIterator()]
+            for path in damaged:
+                print(f"not intact: {path}", file=sys.stderr)
+            if a.S and damaged:
+                return 1
+        return int(write_files(restored, os.path.abspath(a.d), owners=a.o) > 0)
     elif a.command == "prune":
-        for r in repo.prune(invert=a.v).toLocalIterator():
+        for r in repo.prune(a.s, invert=a.v, filters=a.f).toLocalIterator():
             print(f"objects/{r['id'][:3]}/{r['id']}")
     else:
         rules = {"days": a.d, "weeks": a.w, "months": a.m, "years": a.y}

@@ -14,10 +14,11 @@ import time
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.functions import globs
+from moraine.functions import crypto, globs
 from moraine.functions.hashing import BLOCK_MARK, digest, hexed, set_digest
 from moraine.operators import chunk, diff, gc, retention, tree
 from moraine.operators.index import IndexTables
@@ -28,6 +29,7 @@ NODES = (
     "dev_label string, ino decimal(20,0), nlink bigint, subtree string"
 )
 SUMMARIES = "id string, label string, ts timestamp_ntz, root string, argpos int, has_bloom boolean, bloom string, head string, filter_bytes bigint"
+OBJECTS = "id string, content binary, blob_id string"
 FILTERS = "word bigint, bits bigint"
 #: What tells a file.
 IDENTITY = ["dev_label", "ino"]
@@ -40,6 +42,8 @@ class Config:
     digest: str = "sha3_224"
     cross_devices: bool = False
     glob_mode: str = "documented"
+    #: Public key (hexadecimal) for which blocks are sealed; none leaves them clear.
+    recipient: str = ""
 
 
 class Repository:
@@ -52,7 +56,42 @@ class Repository:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if self.index._fs.exists(self.index._paths(f"{self.path}/{name}")) else self.spark.createDataFrame([], schema)
 
     def objects(self) -> DataFrame:
-        return self._table("objects", "id string, content binary")
+        """id (of the clear block), content (sealed if there is a recipient) and blob_id (of the sealed one)."""
+        return self._table("objects", OBJECTS)
+
+    def opened(self, secret: bytes | None) -> DataFrame:
+        """(id, content) in the clear. A blob that does not have its id has no content."""
+        if not self.config.recipient:
+            return self.objects().select("id", "content")
+        if secret is None:
+            raise ValueError("the blocks are sealed; a secret key is needed")
+
+        def run(batches):
+            opener = crypto.Opener(secret)
+            for batch in batches:
+                clear = []
+                for blob, name in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    try:
+                        clear.append(opener.open(blob, bytes.fromhex(name)))
+                    except ValueError:
+                        clear.append(None)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clear, pa.binary())], ["id", "content"])
+
+        return self.objects().mapInArrow(run, "id string, content binary")
+
+    def _sealed(self, found: DataFrame) -> DataFrame:
+        """(id, content, blob_id) as stored: each task seals under a key of its own, so no key and nonce are used twice, and ids of blobs differ from run to run."""
+        if not self.config.recipient:
+            return found.withColumn("blob_id", F.lit(None).cast("string"))
+        recipient = bytes.fromhex(self.config.recipient)
+
+        def run(batches):
+            sealer = crypto.Sealer(recipient)
+            for batch in batches:
+                sealed = [sealer.seal(x) for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b for _, b in sealed], pa.binary()), pa.array([n.hex() for n, _ in sealed], pa.string())], ["id", "content", "blob_id"])
+
+        return found.mapInArrow(run, OBJECTS)
 
     def snapshots(self) -> DataFrame:
         return self._table("summaries", SUMMARIES)
@@ -136,7 +175,8 @@ class Repository:
         counts = {"snapshot": snapshot, "files": rows.count(), "read": stale.count(), "errors": errors.count()}
         if dry_run:
             return counts | {"new_objects": first.count()}
-        pieces.select("path", "block", "data").join(first, ["path", "block"]).select("id", F.col("data").alias("content")).write.mode("append").parquet(f"{self.path}/objects")
+        new = pieces.select("path", "block", "data").join(first, ["path", "block"]).select("id", F.col("data").alias("content"))
+        self._sealed(new).write.mode("append").parquet(f"{self.path}/objects")
         small = pieces.where("block = -1").select("path", F.col("data").alias("inline"), F.lit(None).cast("array<string>").alias("blocks"), F.col("id").alias("digest"))
         lists = pieces.where("block >= 0").groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "id"))), lambda b: b["id"]).alias("blocks"))
         large = lists.select("path", F.lit(None).cast("binary").alias("inline"), "blocks", hexed(digest(F.encode(F.array_join("blocks", ""), "UTF-8"), self.config.digest)).alias("digest"))
@@ -156,7 +196,7 @@ class Repository:
         ids = stored.select(F.explode("blocks").alias("id")).unionByName(stored.where("subtree is not null").select(F.col("subtree").alias("id"))).distinct()
         bloom, head, n_bytes = self._filter(ids, snapshot)
         regs = stored.where("kind = 'reg'")
-        blocks = regs.select(F.explode("blocks").alias("h")).distinct().select(F.unhex("h").alias("clear_hash"), F.unhex("h").alias("blob_id"))
+        blocks = regs.select(F.explode("blocks").alias("id")).distinct().join(self.objects().select("id", "blob_id"), "id").select(F.unhex("id").alias("clear_hash"), F.unhex(F.coalesce("blob_id", "id")).alias("blob_id"))
         deps = regs.dropDuplicates(IDENTITY).select(*IDENTITY, F.posexplode("blocks").alias("block", "h")).select(*IDENTITY, "block", F.unhex("h").alias("clear_hash"))
         inodes = stored.dropDuplicates(IDENTITY).select(*IDENTITY, F.unhex(F.coalesce("subtree", "digest")).alias("blob_id"))
         self.index.stage({"inodes": inodes, "deps": deps, "blocks": blocks, "meta": spark.createDataFrame([(sec, nsec)], "sec bigint, nsec int")})
@@ -214,8 +254,10 @@ class Repository:
         """path and digest of everything in a snapshot."""
         return self.nodes(snapshot).select("path", "kind", "digest").orderBy("path")
 
-    def restore(self, snapshot: str) -> DataFrame:
-        """(path, kind, mode, uid, gid, mtim, target, content, is_intact, first, is_link); is_intact is false where an object is missing or does not have its id.
+    def restore(self, snapshot: str, secret: bytes | None = None) -> DataFrame:
+        """Sealed blocks are opened with the secret key.
+
+        (path, kind, mode, uid, gid, mtim, target, content, is_intact, first, is_link); is_intact is false where an object is missing or does not have its id.
 
         Of the paths of one file the first holds the content; the others are links to it and have none.
         """
@@ -224,7 +266,7 @@ class Repository:
         nodes = regular.unionByName(every.where("kind <> 'reg'").withColumns({"first": F.col("path"), "is_link": F.lit(False)}))
         asked = regular.where("blocks is not null and not is_link").select("path", F.posexplode("blocks").alias("block", "id"))
         mark = hexed(chunk.block_digest(F.col("content"), self.config.digest))
-        got = asked.join(self.objects(), "id", "left").withColumn("ok", F.coalesce(mark == F.col("id"), F.lit(False)))
+        got = asked.join(self.opened(secret), "id", "left").withColumn("ok", F.coalesce(mark == F.col("id"), F.lit(False)))
         joined = got.groupBy("path").agg(chunk.joined("content", "block").alias("joined"), F.bool_and("ok").alias("ok"))
         content = F.when(~F.col("is_link"), F.coalesce("joined", "inline")).alias("content")
         return nodes.join(joined, "path", "left").select("path", "kind", "mode", "uid", "gid", "mtim", "target", content, F.coalesce("ok", F.lit(True)).alias("is_intact"), "first", "is_link")

@@ -485,3 +485,45 @@ def test_dents(spark):
     assert payload == bytes(28) + "aé x".encode() + b"\0" + b"\xab" * 28 + b"b\0"
     rows = spark.createDataFrame([(bytearray(payload),), (bytearray(payload[:-1]),), (bytearray(),), (bytearray(payload[:28] + b"\0"),)], "p binary").select(formats.dents_entries(F.col("p")).alias("e")).collect()
     assert [(e["id"], e["name"]) for e in rows[0]["e"]] == [("00" * 28, "aé x"), ("ab" * 28, "b")] and [r["e"] for r in rows[1:]] == [None, [], None]
+
+
+def test_sealed_repository(home, spark):
+    root, plain, _ = home
+    secret = crypto.generate_key()
+    repo = Repository(spark, plain.path + "-sealed", Config(label="s", block_size=4000, recipient=crypto.public_key(secret).hex()))
+    now = os.stat(root / "a/big").st_ctime + 100
+    one = repo.backup(spark.read.format("inodes").load(str(root)), files.contents(spark, str(root)), now=now)
+    stored = repo.objects().collect()
+    big = (root / "a/big").read_bytes()
+    assert len(stored) == 5 and all(hashlib.sha3_224(r["content"]).hexdigest() == r["blob_id"] != r["id"] for r in stored) and not any(big[:64] in bytes(r["content"]) for r in stored)
+    got = {r["path"]: bytes(r["content"] or b"") for r in repo.restore(one["snapshot"], secret).where("is_intact").collect()}
+    assert got["/a/big"] == big
+    assert repo.restore(one["snapshot"], crypto.generate_key()).where("not is_intact").count() == 2
+    with pytest.raises(ValueError):
+        repo.restore(one["snapshot"])
+    two = repo.backup(spark.read.format("inodes").load(str(root)), files.contents(spark, str(root)), now=now + 5)
+    assert two["read"] == 0 and two["root"] == one["root"] and repo.objects().count() == 5
+    assert {r["blob_id"] for r in stored} == {bytes(r["blob_id"]).hex() for r in repo.index.read("blocks").collect()}
+
+
+def test_commands_end_to_end(home, tmp_path, capsys):
+    root, _, _ = home
+    repo, out = str(tmp_path / "r"), str(tmp_path / "restored")
+    run = lambda *a: cli.main(list(map(str, a)))
+    assert run("genkey", tmp_path / "key") == 0
+    (tmp_path / "pub").write_bytes(crypto.public_key((tmp_path / "key").read_bytes()))
+    assert run("init", "-b", 4000, "-l", "cli", "-p", tmp_path / "pub", repo) == 0
+    os.symlink(root, f"{repo}/devices/home")
+    capsys.readouterr()
+    assert run("backup", "-v", repo, root) == 0
+    lines = capsys.readouterr().out.splitlines()
+    import json
+
+    done = json.loads(lines[-1])
+    assert "/a/big" in lines and done["errors"] == 0
+    assert run("restore", "-k", tmp_path / "key", "-S", "-d", out, repo, done["snapshot"]) == 0
+    assert open(f"{out}/z-big", "rb").read() == (root / "a/big").read_bytes() and os.stat(f"{out}/z-big").st_nlink == 2
+    (tmp_path / "other").write_bytes(crypto.generate_key())
+    assert run("restore", "-k", tmp_path / "other", "-S", "-d", out + "2", repo, done["snapshot"]) == 1 and not os.path.exists(out + "2")
+    capsys.readouterr()
+    assert run("prune", "-f", "-s", done["snapshot"], repo) == 0 and capsys.readouterr().out == ""
