@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,27 @@ def require_no_missing(deps: DataFrame) -> DataFrame:
     return deps.withColumn("is_missing", F.when(F.col("is_missing"), F.raise_error("a block of an unchanged file is not in the index").cast("boolean")).otherwise(F.lit(False)))
 
 
+def until_gap(deps: DataFrame, keys: list[str], block: str) -> DataFrame:
+    """The dependencies of each inode from block 0 up to the first number that is missing; what comes after a gap is not carried.
+
+    Rows that repeat a block all count as that block. Inodes without a gap, which are nearly all, are told by their
+    counts; only the others are put in order.
+    """
+    sizes = deps.groupBy(*keys).agg((F.max(block) - F.count_distinct(block)).alias("_over"), F.min(block).alias("_least"))
+    whole = sizes.where("_over = -1 and _least = 0").select(*keys)
+    order = F.dense_rank().over(Window.partitionBy(*keys).orderBy(block)) - 1
+    rest = deps.join(whole, keys, "left_anti").withColumn("_at", order).where(F.col("_at") == F.col(block)).drop("_at")
+    return deps.join(whole, keys, "left_semi").unionByName(rest)
+
+
+def reused(current: DataFrame, previous: DataFrame, since: Column, content: list[str]) -> DataFrame:
+    """Adds reuse and the content of files (dev, ino) that the previous snapshot holds under any path and that did not change since: a renamed file is not read again."""
+    held = previous.groupBy("dev", "ino").agg(F.min(F.struct(*content)).alias("_was"), F.lit(True).alias("_found"))
+    joined = current.join(held, ["dev", "ino"], "left")
+    joined = joined.withColumn("reuse", F.coalesce("_found", F.lit(False)) & ~is_changed(F.col("mtim"), F.col("ctim"), since))
+    return joined.withColumns({c: F.when(F.col("reuse"), F.col(f"_was.{c}")) for c in content}).drop("_was", "_found")
+
+
 def on_devices(files: DataFrame, devices: DataFrame, dev: str, root_dev: object, cross: bool = False) -> DataFrame:
     """Files on the root's device or a listed one; all of them with cross."""
     if cross:

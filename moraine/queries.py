@@ -143,6 +143,51 @@ def carry_forward(spark, sf_dir):
     return diff.carried(unchanged, deps, known, ["o_orderkey"], "l_partkey").select("o_orderkey", "block", "l_partkey", "is_missing")
 
 
+@query("""WITH d AS (SELECT l_orderkey, l_linenumber - 1 AS block, l_partkey FROM lineitem WHERE l_partkey % 10 <> 0)
+          SELECT * FROM d WHERE block = (SELECT count(DISTINCT e.block) FROM d e WHERE e.l_orderkey = d.l_orderkey AND e.block < d.block)""")
+def deps_until_gap(spark, sf_dir):
+    deps = _table(spark, sf_dir, "lineitem").where("l_partkey % 10 <> 0").select("l_orderkey", (F.col("l_linenumber") - 1).alias("block"), "l_partkey")
+    return diff.until_gap(deps, ["l_orderkey"], "block")
+
+
+def _paths(spark, sf_dir, way: str):
+    """Orders as files on devices (the priority), two paths of which are of one inode; way is part of their paths."""
+    o = _table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderpriority").alias("dev"), F.expr("o_orderkey div 2").alias("ino"), F.concat(F.lit(f"/{way}/"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("path"), F.col("o_orderdate").alias("mtim"), F.col("o_orderdate").alias("ctim"),
+        F.sha2(F.concat("o_orderpriority", F.lit(":"), F.expr("o_orderkey div 2").cast("string")), 256).alias("digest"),
+    )
+
+
+_PATHS = """f AS (SELECT o_orderpriority AS dev, o_orderkey // 2 AS ino, o_orderkey AS k, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS name, o_orderdate AS t,
+               sha256(o_orderpriority || ':' || (o_orderkey // 2)) AS digest FROM orders)"""
+
+
+@query(f"""WITH {_PATHS}, old AS (SELECT DISTINCT dev, ino, digest FROM f WHERE k % 5 <> 0)
+          SELECT '/renamed/' || name AS path, old.ino IS NOT NULL AND t <= TIMESTAMP '{SINCE}' AS reuse, CASE WHEN old.ino IS NOT NULL AND t <= TIMESTAMP '{SINCE}' THEN old.digest END AS digest FROM f LEFT JOIN old USING (dev, ino)""")
+def inode_reuse(spark, sf_dir):
+    """Every file was renamed; those that the last snapshot held and that did not change are not read again."""
+    before = _paths(spark, sf_dir, "first").where("substr(path, 8) % 5 <> 0")
+    now = _paths(spark, sf_dir, "renamed").drop("digest")
+    return diff.reused(now, before.select("dev", "ino", "digest"), F.lit(SINCE).cast("timestamp_ntz"), ["digest"]).select("path", "reuse", "digest")
+
+
+@query(f"WITH {_PATHS} SELECT '/p/' || name AS path, '/p/' || min(name) OVER w AS first, row_number() OVER (PARTITION BY dev, ino ORDER BY name) > 1 AS is_link, row_number() OVER (PARTITION BY dev, ino ORDER BY name) AS rank FROM f WINDOW w AS (PARTITION BY dev, ino)")
+def restore_links(spark, sf_dir):
+    """Which of a file's paths is created and which are linked to it, in the order of restoring."""
+    found = chunk.hardlinks(_paths(spark, sf_dir, "p"), ["dev", "ino"], "path")
+    return chunk.ordered_hardlinks(found, ["dev", "ino"], "path").select("path", "first", "is_link", "rank")
+
+
+@query("""SELECT n_nationkey, rank() OVER (PARTITION BY n_nationkey ORDER BY c_name) - 1 AS place, sha256(CAST(c_custkey AS VARCHAR)) AS id, c_name AS name
+          FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def dents_parse(spark, sf_dir):
+    """Listings of directories (nations) with their entries (customers), written as records and read back."""
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("int").alias("n_nationkey"), F.col("c_name").alias("name"), F.sha2(F.col("c_custkey").cast("string"), 256).alias("value"))
+    made = rows.groupBy("n_nationkey").agg(formats.dents(F.col("name"), F.col("value")).alias("dents"))
+    return made.select("n_nationkey", F.posexplode(formats.dents_entries(F.col("dents"), 32)).alias("place", "e")).select("n_nationkey", F.col("place").cast("bigint").alias("place"), "e.id", "e.name")
+
+
 @query("SELECT c_custkey FROM customer WHERE c_nationkey = 3 OR c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 def device_semi(spark, sf_dir):
     devices = _table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))

@@ -527,3 +527,31 @@ def test_commands_end_to_end(home, tmp_path, capsys):
     assert run("restore", "-k", tmp_path / "other", "-S", "-d", out + "2", repo, done["snapshot"]) == 1 and not os.path.exists(out + "2")
     capsys.readouterr()
     assert run("prune", "-f", "-s", done["snapshot"], repo) == 0 and capsys.readouterr().out == ""
+
+
+def test_gaps_and_missing_blocks(spark):
+    from moraine.operators import diff, index
+
+    deps = spark.createDataFrame([(1, 0), (1, 1), (1, 3), (2, 0), (3, 1), (4, 0), (4, 1), (4, 2)], "ino int, block int")
+    assert sorted(map(tuple, diff.until_gap(deps, ["ino"], "block").collect())) == [(1, 0), (1, 1), (2, 0), (4, 0), (4, 1), (4, 2)]
+    marked = deps.withColumn("is_missing", F.col("ino") == 3)
+    with pytest.raises(Exception, match="not in the index"):
+        diff.require_no_missing(marked).collect()
+    assert diff.require_no_missing(marked.where("ino < 3")).count() == 4
+    assert index.lookup(deps, F.col("block") == 3).collect() == [(1, 3)]
+
+
+def test_object_listing(spark, tmp_path):
+    name = "ab" * 28
+    for at in (f"objects/aba/{name}", f"objects/abb/{name.upper()}.x", "objects/abc/notes"):
+        os.makedirs(os.path.dirname(tmp_path / at), exist_ok=True)
+        (tmp_path / at).write_bytes(b"12345")
+    found = files.listing(spark, str(tmp_path)).collect()
+    assert {r["length"] for r in found} == {5} and len(found) == 2 and found[0]["id"].startswith(name)
+    shown = spark.createDataFrame([(name,), (name[:-1],), ("notes",), (None,)], "n string").select(hashing.is_object_name(F.col("n")).alias("ok")).collect()
+    assert [r["ok"] for r in shown] == [True, False, False, None]
+
+
+def test_ordered_hard_links(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "ino int, path string")
+    assert {tuple(r) for r in chunk.ordered_hardlinks(df, ["ino"], "path").select("path", "rank").collect()} == {("a", 1), ("b", 2), ("c", 1)}
