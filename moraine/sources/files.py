@@ -44,31 +44,40 @@ def entry(root: str, path: str) -> tuple:
     return (shown, os.path.basename(path), kind, s.st_dev, Decimal(s.st_ino), s.st_mode, s.st_uid, s.st_gid, s.st_nlink, s.st_size, time(s.st_mtime_ns), time(s.st_ctime_ns), os.readlink(path) if kind == "lnk" else None, None)
 
 
+#: Entries other than directories that one task looks at, at most.
+TASK_ENTRIES = 1000
+
+
 @dataclass
 class Subtree(InputPartition):
-    path: str
+    paths: tuple[str, ...]
     deep: bool
 
 
 class InodeReader(DataSourceReader):
-    """Splits the tree at its second level; each task walks its subtrees. Sockets and other kinds have a null kind."""
+    """Splits the tree at its second level: each directory there is a task, other entries are dealt out by the thousand. Sockets and other kinds have a null kind."""
 
     def __init__(self, root: str):
         self.root = os.path.abspath(root)
 
     def partitions(self) -> list[InputPartition]:
-        parts = [Subtree(self.root, False)]
+        parts, flat = [], [self.root]
         for top in sorted(os.scandir(self.root), key=lambda e: e.name):
             try:
-                inside = sorted(e.path for e in os.scandir(top.path)) if top.is_dir(follow_symlinks=False) else None
+                inside = sorted(os.scandir(top.path), key=lambda e: e.name) if top.is_dir(follow_symlinks=False) else []
             except OSError:  # the task that walks it yields the error
-                inside = None
-            parts.append(Subtree(top.path, inside is None))
-            parts += [Subtree(path, True) for path in inside or ()]
-        return parts
+                parts.append(Subtree((top.path,), True))
+                continue
+            flat.append(top.path)
+            for e in inside:
+                if e.is_dir(follow_symlinks=False):
+                    parts.append(Subtree((e.path,), True))
+                else:
+                    flat.append(e.path)
+        return [Subtree(tuple(flat[k : k + TASK_ENTRIES]), False) for k in range(0, len(flat), TASK_ENTRIES)] + parts
 
     def read(self, part: Subtree) -> Iterator[tuple]:
-        waiting = [part.path]
+        waiting = list(part.paths)[::-1]
         while waiting:
             path = waiting.pop()
             row = entry(self.root, path)
