@@ -75,17 +75,13 @@ def words(text: str) -> list[str]:
     return re.findall(WORD, text.lower())
 
 
-def grams(found: list[str]) -> list[str]:
-    return found + [f"{a} {b}" for a, b in zip(found, found[1:])]
-
-
-def bucket(gram: str) -> int:
-    """The same as pmod(xxhash64(gram), BUCKETS) in Spark."""
-    return int(np.uint64(xxhash.xxh64_intdigest(gram.encode(), 42)).astype(np.int64)) % BUCKETS
-
-
 def coded(text: str) -> list[int]:
-    return sorted({bucket(g) for g in grams(words(text))})
+    """The distinct buckets of a text's words and word pairs: Spark's pmod(xxhash64(word), BUCKETS) and pmod(xxhash64(first, second), BUCKETS)."""
+    found = words(text)
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in found]
+    # Spark hashes several columns by taking the hash of the one before as the seed of the next.
+    hashes += [xxhash.xxh64_intdigest(b.encode(), h) for h, b in zip(hashes, found[1:])]
+    return sorted({(h - (1 << 64) if h >> 63 else h) % BUCKETS for h in hashes})
 
 
 @dataclass(frozen=True)
@@ -139,32 +135,34 @@ def labelled_paragraphs(n: int, seed: int) -> list[tuple[str, int]]:
 @functools.cache
 def default_model() -> Model:
     """Full-batch AdaGrad on made paragraphs, then the temperature with the least log loss on others."""
-
     made = labelled_paragraphs(MADE, SEED)
-    seen = np.bincount([b for text, _ in made for b in coded(text)], minlength=BUCKETS)
+    codes = [coded(text) for text, _ in made]
+    seen = np.bincount([b for row in codes for b in row], minlength=BUCKETS)
     column = {b: k for k, b in enumerate(np.flatnonzero(seen >= LEAST_SEEN).tolist())}
-
-    def matrix(rows: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
-        x = np.zeros((len(rows), len(column)), np.float32)
-        for k, (text, _) in enumerate(rows):
-            x[k, [column[b] for b in coded(text) if b in column]] = 1
-        return x, np.array([y for _, y in rows])
-
-    x, y = matrix(made)
-    w, b = np.zeros((len(column), len(FAMILIES) + 1), np.float32), np.zeros(len(FAMILIES) + 1, np.float32)
+    # The matrix of paragraphs and buckets, as places by row and as places by column.
+    rows = [[column[b] for b in row if b in column] for row in codes]
+    flat, row = np.array([k for r in rows for k in r]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    by_column = np.argsort(flat, kind="stable")
+    starts, of_column = np.searchsorted(flat[by_column], np.arange(len(column))), row[by_column]
+    filled = np.flatnonzero([len(r) for r in rows])
+    row_starts = np.searchsorted(row, filled)
+    y, classes = np.array([label for _, label in made]), len(FAMILIES) + 1
+    w, b = np.zeros((len(column), classes), np.float32), np.zeros(classes, np.float32)
     seen_w, seen_b = np.full(w.shape, 1e-6, np.float32), np.full(b.shape, 1e-6, np.float32)
     for _ in range(EPOCHS):
-        z = x @ w + b
+        z = np.tile(b, (len(y), 1))
+        z[filled] += np.add.reduceat(w[flat], row_starts)
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
-        g, h = x.T @ p / len(y) + RIDGE * w / 10, p.mean(0)
+        g, h = np.add.reduceat(p[of_column], starts) / len(y) + RIDGE * w / 10, p.mean(0)
         seen_w += g**2
         seen_b += h**2
         w -= RATE * g / np.sqrt(seen_w) * 0.1
         b -= RATE * h / np.sqrt(seen_b) * 0.1
-    x, y = matrix(labelled_paragraphs(HELD, SEED + 1))
-    z = x @ w + b
+    held = labelled_paragraphs(HELD, SEED + 1)
+    y = np.array([label for _, label in held])
+    z = np.array([w[[column[b] for b in coded(text) if b in column]].sum(0) + b for text, _ in held])
 
     def loss(t: float) -> float:
         s = z / t
@@ -180,8 +178,8 @@ def pairs(found: list[str]) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(found, found[1:])})
 
 
-def _cue() -> str:
-    """A pattern for one of the word pairs without which no text holds SHARE of any template.
+def _needed() -> set[str]:
+    """Word pairs without one of which no text holds SHARE of any template.
 
     A text that holds SHARE of a template's pairs lacks the others at most, so it holds one of any set that is larger by one.
     The sets are made of pairs that serve other templates or hold no common word, so that few texts match.
@@ -191,8 +189,13 @@ def _cue() -> str:
         lacks = len(of) - math.ceil(SHARE * len(of))
         rank = sorted(of, key=lambda p: (p not in chosen, sum(w in COMMON for w in p.split()), p))
         chosen.update(rank[: lacks + 1])
+    return chosen
+
+
+def _cue() -> str:
+    """A pattern for one of these pairs."""
     follows: dict[str, list[str]] = {}
-    for first, second in map(str.split, sorted(chosen)):
+    for first, second in map(str.split, sorted(_needed())):
         follows.setdefault(first, []).append(re.escape(second))
     starts = "".join(sorted({first[0] for first in follows}))
     branches = "|".join(rf"{re.escape(first)}[^a-z0-9]++(?:(?:dnl|rem|c)[^a-z0-9]++)?(?:{'|'.join(seconds)})" for first, seconds in follows.items())
@@ -268,15 +271,16 @@ def _picked(groups: Column) -> Column:
 
 
 def _classifier(model: Model):
-    """A function from the distinct grams of a paragraph to (k, probability) of its most probable class; of equal ones the first."""
+    """A function from the words of a paragraph to (k, probability) of its most probable class; of equal ones the first."""
     known = np.flatnonzero(model.weights.any(1))
     slots = np.full(len(model.weights), -1)
     slots[known] = np.arange(len(known))
     slot, weights, bias = _array(slots.tolist(), "array<int>"), _array(model.weights[known].tolist(), "array<array<double>>"), _array(model.bias.tolist(), "array<double>")
 
-    def classify(grams: Column) -> Column:
-        hashed = F.transform(grams, lambda g: F.get(slot, F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int")))
-        held = F.array_distinct(F.filter(hashed, lambda k: k >= 0))
+
+    def classify(w: Column, two: Column | None = None) -> Column:
+        hashed = F.concat(F.transform(w, lambda a: F.xxhash64(a)), _hashed_pairs(w) if two is None else two)
+        held = F.array_distinct(F.filter(F.transform(hashed, lambda h: F.get(slot, _bucket(h))), lambda k: k >= 0))
         sums = F.aggregate(held, bias, lambda s, k: F.zip_with(s, F.get(weights, k), lambda a, b: a + b))
         return _let(sums, lambda z: F.struct(
             (F.array_position(z, F.array_max(z)) - 1).cast("int").alias("k"), (1 / F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max(z)))).alias("probability"),
@@ -285,6 +289,14 @@ def _classifier(model: Model):
     return classify
 
 
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
+def _hashed_pairs(w: Column) -> Column:
+    return F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda b, k: F.xxhash64(F.get(w, k), b))
+
+
 def _pairs(w: Column) -> Column:
     return F.array_distinct(F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda b, k: F.concat_ws(" ", F.get(w, k), b)))
 
@@ -293,16 +305,31 @@ def _words(line: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(F.lower(line), MARK, ""), F.lit(WORD), F.lit(0))
 
 
-def predicted(text: Column, model: Model) -> Column:
-    """How many lines of a text the classifier takes for notices of a family, confirmed or not. Every line with a word is classified."""
-    classify = _classifier(model)
-    lines = F.filter(F.transform(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1), _words), lambda w: F.size(w) > 0)
-    found = F.transform(lines, lambda w: classify(F.concat(w, _pairs(w))))
-    return F.size(F.filter(found, lambda c: (c["k"] < len(FAMILIES)) & (c["probability"] >= LEAST)))
+def lines_of(text: Column, model: Model) -> Column:
+    """(predicted, cued) of a text: how many lines the classifier takes for notices of a family, confirmed or not, and whether any
+    two words that follow one another, in a line or over a line's end, may be a pair that confirmation needs.
+
+    Every line with a word is classified. Pairs are told by three parts of their hash, so cued may once in a great while be true
+    without such a pair; it is never false with one.
+    """
+    classify, width = _classifier(model), BUCKETS.bit_length() - 1
+    hashes = [xxhash.xxh64_intdigest(second.encode(), xxhash.xxh64_intdigest(first.encode(), 42)) for first, second in map(str.split, _needed())]
+    tables = [_array(np.isin(np.arange(BUCKETS), [h >> width * k & (BUCKETS - 1) for h in hashes]).tolist(), "array<boolean>") for k in range(3)]
+    needed = lambda h: functools.reduce(Column.__and__, [F.get(t, _bucket(F.shiftrightunsigned(h, width * k) if k else h)) for k, t in enumerate(tables)])
+    solid = F.filter(F.transform(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1), _words), lambda w: F.size(w) > 0)
+
+    def judged(lines: Column) -> Column:
+        each = F.transform(lines, lambda w: _let(_hashed_pairs(w), lambda two: F.struct(classify(w, two).alias("c"), F.exists(two, needed).alias("cued"))))
+        over = F.exists(F.transform(lines, lambda w, k: F.xxhash64(F.element_at(w, -1), F.get(F.get(lines, k + 1), F.lit(0)))), needed)
+        return _let(each, lambda found: F.struct(
+            F.size(F.filter(found, lambda x: (x["c"]["k"] < len(FAMILIES)) & (x["c"]["probability"] >= LEAST))).alias("predicted"), (F.exists(found, lambda x: x["cued"]) | over).alias("cued"),
+        ))
+
+    return _let(solid, judged)
 
 
-def paragraphs(text: Column, model: Model) -> Column:
-    """Array of (line, family, probability) of the confirmed licence notices of a text."""
+def paragraphs(text: Column, cued: Column, model: Model) -> Column:
+    """Array of (line, family, probability) of the confirmed licence notices of a text; empty where it is not cued."""
     templates = _array([[pairs(words(t)) for t in TEMPLATES[f]] for f in FAMILIES], "array<array<array<string>>>")
     families, classify = F.array(*map(F.lit, FAMILIES)), _classifier(model)
     keep = lambda p, *more: F.struct(p["line"].alias("line"), p["last"].alias("last"), *more)
@@ -313,7 +340,7 @@ def paragraphs(text: Column, model: Model) -> Column:
         paired = F.transform(group, lambda p: keep(p, p["w"].alias("w"), _pairs(p["w"]).alias("pairs")))
         # What holds enough of no template would be dropped in the end; it is not scored.
         likely = F.filter(paired, lambda p: F.exists(templates, lambda family: F.exists(family, lambda t: holds(p, t))))
-        best = F.transform(likely, lambda p: _let(classify(F.concat(p["w"], p["pairs"])), lambda c: keep(p, p["pairs"].alias("pairs"), c["k"].alias("k"), c["probability"].alias("probability"))))
+        best = F.transform(likely, lambda p: _let(classify(p["w"]), lambda c: keep(p, p["pairs"].alias("pairs"), c["k"].alias("k"), c["probability"].alias("probability"))))
         known = F.filter(best, lambda p: (p["k"] < len(FAMILIES)) & (p["probability"] >= LEAST))
         sure = F.filter(known, lambda p: F.exists(F.get(templates, p["k"]), lambda t: holds(p, t)))
         return F.transform(sure, lambda p: keep(p, p["k"].alias("k"), p["probability"].alias("probability"), F.array_max(F.transform(F.get(templates, p["k"]), lambda t: share(p, t))).alias("share")))
@@ -321,8 +348,6 @@ def paragraphs(text: Column, model: Model) -> Column:
     whole = F.coalesce(text.cast("string"), F.lit(""))
     found = _let(F.split(whole, "\n", -1), lambda lines: _picked(F.transform(_windows(lines), confirmed)))
     named = F.transform(found, lambda p: F.struct(p["line"].alias("line"), F.get(families, p["k"]).alias("family"), p["probability"].alias("probability")))
-    # A cue may be split by a line end.
-    cued = F.lower(F.translate(whole, "\n", " ")).rlike(CUE)
     return F.when(cued, named).otherwise(F.filter(F.array(F.struct(F.lit(0).alias("line"), F.lit("").alias("family"), F.lit(0.0).alias("probability"))), lambda p: F.lit(False)))
 
 
@@ -335,5 +360,6 @@ def scanned(docs: DataFrame, model: Model | None = None) -> DataFrame:
     their rows; other columns are ignored; an empty table gives an empty table.
     """
     model = model or default_model()
-    found = docs.select("doc_id", paragraphs(F.col("text"), model).alias("found"), predicted(F.col("text"), model).cast("bigint").alias("n_predicted"))
+    judged = docs.select("doc_id", F.col("text").alias("text"), lines_of(F.col("text"), model).alias("lines"))
+    found = judged.select("doc_id", paragraphs(F.col("text"), F.col("lines.cued"), model).alias("found"), F.col("lines.predicted").cast("bigint").alias("n_predicted"))
     return found.select("doc_id", F.array_sort(F.array_distinct(F.col("found.family"))).alias("families"), F.size("found").cast("bigint").alias("n_paragraphs"), F.array_max(F.col("found.probability")).alias("probability"), "n_predicted", "found")
