@@ -295,11 +295,13 @@ def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
     r = random.Random(seed)
     letters = "etaoinshrdlucmfwypvbgkéöñçü"
 
+    vocabulary = ["".join(r.choices(letters, k=r.choice((2, 3, 3, 4, 5, 6, 7, 9)))) for _ in range(3000)]
+
     def word() -> str:
-        return "".join(r.choice(letters) for _ in range(r.choice((2, 3, 3, 4, 5, 6, 7, 9))))
+        return vocabulary[int(r.random() * len(vocabulary))]
 
     def words(low: int, high: int) -> str:
-        return " ".join(word() for _ in range(r.randint(low, high)))
+        return " ".join(r.choices(vocabulary, k=r.randint(low, high)))
 
     def sentences(low: int, high: int) -> str:
         return " ".join(words(3, 14).capitalize() + r.choice("....!?") for _ in range(r.randint(low, high)))
