@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import staged
+from moraine.llm.common import staged, unstaged
 
 #: Rounds before giving up; log2 of the path length is needed, so this is never met.
 MAX_ROUNDS = 60
@@ -36,12 +36,13 @@ def components(edges: DataFrame) -> DataFrame:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # The minima are staged so that the join below has a shuffle on either side, which adaptive execution can split for a hub.
-        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large")
-        large = staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "star")
+        lower = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large")
+        large = staged(both.where("v > u").join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "star")
         least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "small")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, now = now, staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = _signature(now)
+        unstaged(old, lower, large, least)  # the round's result is written; nothing goes back to what it was made from
         if after == before:
             break
         before = after

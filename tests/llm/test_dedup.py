@@ -252,3 +252,38 @@ def test_lines_of_files_that_are_split_otherwise_later(spark, tmp_path, monkeypa
         for key in first:
             spark.conf.unset(key)
     assert sorted(got) == slow_lines(rows)
+
+
+def test_rounds_leave_one_table(spark, tmp_path, monkeypatch):
+    import os
+
+    from moraine.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    found = graph.components(spark.createDataFrame([(k, k + 1) for k in range(40)], "a bigint, b bigint"))
+    (application,) = os.listdir(tmp_path / "moraine")
+    assert len(os.listdir(tmp_path / "moraine" / application)) == 1 and found.count() == 41
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from moraine.llm import common
+
+    class Context:
+        master = "spark://far:7077"
+
+        def getConf(self):
+            return {}
+
+        class _jsc:
+            class sc:
+                def getCheckpointDir(self):
+                    return self
+
+                def isDefined(self):
+                    return False
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
