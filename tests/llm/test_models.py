@@ -49,7 +49,7 @@ def test_toxicity_on_held_out_rows(spark):
     found = toxicity.scored(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where("held_out").collect()
     right = sum(r["predicted"] and r["toxic"] for r in found)
     # 352 toxic rows are there to learn from.
-    assert right >= 0.95 * sum(r["predicted"] for r in found) and right >= 0.85 * sum(r["toxic"] for r in found)
+    assert right >= 0.95 * sum(r["predicted"] for r in found) and right >= 0.9 * sum(r["toxic"] for r in found)
 
 
 def test_toxicity_edges(spark, odd, none):
