@@ -419,16 +419,18 @@ def integrity_check(spark, sf_dir):
 
 def _summaries(spark, sf_dir):
     sec, nsec = F.unix_timestamp(F.col("ts").cast("timestamp")), F.expr("CAST(pmod(unix_micros(CAST(ts AS TIMESTAMP)), 1000000) * 1000 AS INT)")
-    bloom = F.when(F.col("event_id") % 7 != 0, F.sha2(F.concat(F.lit("b"), F.col("event_id").cast("string")), 224))
-    return _table(spark, sf_dir, "events").select("event_id", "event_type", sec.alias("sec"), nsec.alias("nsec"), F.sha2(F.col("event_id").cast("string"), 224).alias("root"), bloom.alias("bloom"))
+    bloom = F.when(F.col("event_id") % 7 != 0, F.substring(F.sha2(F.concat(F.lit("b"), F.col("event_id").cast("string")), 256), 1, 56))
+    return _table(spark, sf_dir, "events").select("event_id", "event_type", sec.alias("sec"), nsec.alias("nsec"), F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 56).alias("root"), bloom.alias("bloom"))
 
 
 @query("""SELECT event_id, event_type || '-' || strftime(ts, '%Y-%m-%dT%H%M%S') || '.' || lpad(CAST(epoch_us(ts) % 1000000 * 1000 AS VARCHAR), 9, '0') || 'Z.txt' AS name,
-          epoch_us(ts) // 1000000 AS sec, event_type AS label, event_id % 7 <> 0 AS has_bloom FROM events""")
+          epoch_us(ts) // 1000000 AS sec, event_type AS label, event_id % 7 <> 0 AS has_bloom,
+          sha256('timestamp ' || (epoch_us(ts) // 1000000) || '.' || lpad(CAST(epoch_us(ts) % 1000000 * 1000 AS VARCHAR), 9, '0') || chr(10) || 'label ' || event_type || chr(10) || 'root ' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 56)
+                 || chr(10) || CASE WHEN event_id % 7 <> 0 THEN 'bloom ' || substr(sha256('b' || event_id), 1, 56) || chr(10) ELSE '' END) AS text_sha256 FROM events""")
 def summary_format(spark, sf_dir):
     rows = _summaries(spark, sf_dir).withColumn("text", formats.summary_text(F.col("sec"), F.col("nsec"), F.col("event_type"), F.col("root"), F.col("bloom")))
     back = formats.summary_fields(F.col("text"))
-    return rows.select("event_id", formats.summary_name(F.col("event_type"), F.col("sec"), F.col("nsec")).alias("name"), back["ts"]["sec"].alias("sec"), back["label"].alias("label"), back["bloom"].isNotNull().alias("has_bloom"))
+    return rows.select("event_id", formats.summary_name(F.col("event_type"), F.col("sec"), F.col("nsec")).alias("name"), back["ts"]["sec"].alias("sec"), back["label"].alias("label"), back["bloom"].isNotNull().alias("has_bloom"), F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("SELECT event_type AS label, max(epoch_us(ts) // 1000000) AS last_sec, count(*) AS snapshots FROM events GROUP BY event_type")
@@ -440,15 +442,17 @@ def summary_parse(spark, sf_dir):
 
 
 @query("""SELECT doc_id, 'reg' AS kind, 33188 + doc_id % 64 AS mode, 1000 + doc_id % 3 AS uid, 1 + doc_id % 2 AS nlink, sha256(encode(text)) AS payload_sha256,
-          CASE WHEN octet_length(encode(text)) < 4000 THEN 'idata' ELSE 'blocks' END AS section FROM documents""")
+          CASE WHEN octet_length(encode(text)) < 4000 THEN 'idata' ELSE 'blocks' END AS section,
+          sha256(encode('mode 0' || printf('%o', 33188 + doc_id % 64) || chr(0) || 'uid ' || (1000 + doc_id % 3) || chr(0) || 'gid 100' || chr(0) || 'mtim ' || doc_id || '.000000005' || chr(0) || 'ctim ' || doc_id || '.000000005' || chr(0)
+                        || CASE WHEN doc_id % 2 = 1 THEN 'nlink 2' || chr(0) ELSE '' END || CASE WHEN octet_length(encode(text)) < 4000 THEN 'idata' ELSE 'blocks' END || chr(0)) || encode(text)) AS record_sha256 FROM documents""")
 def inode_record(spark, sf_dir):
     time = F.struct(F.col("doc_id").alias("sec"), F.lit(5).alias("nsec"))
     section = F.when(chunk.is_inline(F.octet_length("content")), F.lit("idata")).otherwise(F.lit("blocks"))
     mode = (F.lit(33188) + F.col("doc_id") % 64).cast("int")
     made = _files(spark, sf_dir).select("doc_id", formats.inode_record(mode, 1000 + F.col("doc_id") % 3, F.lit(100), time, time, 1 + F.col("doc_id") % 2, section, F.col("content")).alias("record"))
-    back = made.select("doc_id", *[c.alias(n) for n, c in formats.inode_fields(F.col("record")).items()])
+    back = made.select("doc_id", "record", *[c.alias(n) for n, c in formats.inode_fields(F.col("record")).items()])
     shown = from_octal(octal(F.col("mode"))).cast("bigint")
-    return back.select("doc_id", file_kind(F.col("mode")).alias("kind"), shown.alias("mode"), "uid", "nlink", F.sha2("payload", 256).alias("payload_sha256"), "section")
+    return back.select("doc_id", file_kind(F.col("mode")).alias("kind"), shown.alias("mode"), "uid", "nlink", F.sha2("payload", 256).alias("payload_sha256"), "section", F.sha2("record", 256).alias("record_sha256"))
 
 
 @query("SELECT doc_id, octet_length(encode(text)) + 40 + 512 + (512 - (octet_length(encode(text)) + 40) % 512) % 512 AS archive_bytes FROM documents")
