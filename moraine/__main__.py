@@ -4,7 +4,7 @@
     init [-b SIZE] [-l LABEL] [-p PUBKEY] REPO
     backup [-b SIZE] [-x] [-n] [-v] [--pending] [-e PATTERNS] REPO ROOT
     commit REPO | abort REPO
-    restore [-n] [-v] [-S] [-k KEY] [-i] [-o] -d DEST REPO SNAPSHOT
+    restore [-n] [-v] [-S] [-k KEY] [--report] [-o] -d DEST REPO SNAPSHOT
     prune [-v] [-f] [-s SNAPSHOT]... REPO
     cull [-d N] [-w N] [-m N] [-y N] [-v] REPO
 """
@@ -42,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
     p["restore"].add_argument("snapshot")
     p["restore"].add_argument("-k", help="file with the secret key of sealed blocks")
     p["restore"].add_argument("-S", action="store_true", help="stop before writing if a file is not intact")
-    p["restore"].add_argument("-i", action="store_true", help="report files that are not intact by path")
+    p["restore"].add_argument("--report", action="store_true", help="report files that are not intact by path")
     p["restore"].add_argument("-v", action="store_true", help="list what is restored")
     p["restore"].add_argument("-o", action="store_true", help="set owners")
     p["prune"].add_argument("-f", action="store_true", help="ask the snapshots' filters instead of their entries")
@@ -124,7 +124,7 @@ def main(argv: list[str] | None = None) -> int:
             with open(a.k, "rb") as f:
                 secret = f.read(32)
         restored = repo.restore(a.snapshot, secret)
-        if a.S or a.i:
+        if a.S or a.report:
             damaged = [r["path"] for r in restored.where("not is_intact").select("path").toLocalIterator()]
             for path in damaged:
                 print(f"not intact: {path}", file=sys.stderr)

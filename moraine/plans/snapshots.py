@@ -12,10 +12,12 @@ from __future__ import annotations
 import itertools
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moraine.functions import crypto, globs
@@ -42,7 +44,7 @@ class Config:
     digest: str = "sha3_224"
     cross_devices: bool = False
     glob_mode: str = "documented"
-    #: Public key (hexadecimal) for which blocks are sealed; none leaves them clear.
+    #: Public key (hexadecimal) for which blocks and the contents of small files are sealed; none leaves them clear. Names, times and listings are never sealed.
     recipient: str = ""
 
 
@@ -79,6 +81,32 @@ class Repository:
 
         return self.objects().mapInArrow(run, "id string, content binary")
 
+    def _sealed_inline(self, data: Column) -> Column:
+        """The content of small files as entries hold it."""
+        if not self.config.recipient:
+            return data
+        recipient = bytes.fromhex(self.config.recipient)
+
+        @F.pandas_udf("binary")
+        def seal(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            sealer = crypto.Sealer(recipient)
+            for batch in batches:
+                yield batch.map(lambda x: None if x is None else sealer.seal(bytes(x))[1])
+
+        return seal.asNondeterministic()(data)
+
+    def _opened_inline(self, data: Column, secret: bytes | None) -> Column:
+        if not self.config.recipient:
+            return data
+
+        @F.pandas_udf("binary")
+        def opened(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            opener = crypto.Opener(secret)
+            for batch in batches:
+                yield batch.map(lambda x: None if x is None else opener.open(bytes(x)))
+
+        return opened(data)
+
     def _sealed(self, found: DataFrame) -> DataFrame:
         """(id, content, blob_id) as stored: each task seals under a key of its own, so no key and nonce are used twice, and ids of blobs differ from run to run."""
         if not self.config.recipient:
@@ -177,7 +205,7 @@ class Repository:
             return counts | {"new_objects": first.count()}
         new = pieces.select("path", "block", "data").join(first, ["path", "block"]).select("id", F.col("data").alias("content"))
         self._sealed(new).write.mode("append").parquet(f"{self.path}/objects")
-        small = pieces.where("block = -1").select("path", F.col("data").alias("inline"), F.lit(None).cast("array<string>").alias("blocks"), F.col("id").alias("digest"))
+        small = pieces.where("block = -1").select("path", self._sealed_inline(F.col("data")).alias("inline"), F.lit(None).cast("array<string>").alias("blocks"), F.col("id").alias("digest"))
         lists = pieces.where("block >= 0").groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "id"))), lambda b: b["id"]).alias("blocks"))
         large = lists.select("path", F.lit(None).cast("binary").alias("inline"), "blocks", hexed(digest(F.encode(F.array_join("blocks", ""), "UTF-8"), self.config.digest)).alias("digest"))
         fresh = small.unionByName(large).withColumnRenamed("path", "first")
@@ -257,11 +285,13 @@ class Repository:
     def restore(self, snapshot: str, secret: bytes | None = None) -> DataFrame:
         """Sealed blocks are opened with the secret key.
 
-        (path, kind, mode, uid, gid, mtim, target, content, is_intact, first, is_link); is_intact is false where an object is missing or does not have its id.
+        (path, kind, mode, uid, gid, mtim, target, content, is_intact, first, is_link); is_intact is false where an object is missing or does not have its id, or a small file's content not its digest.
 
         Of the paths of one file the first holds the content; the others are links to it and have none.
         """
-        every = self.nodes(snapshot)
+        if self.config.recipient and secret is None:
+            raise ValueError("the blocks are sealed; a secret key is needed")
+        every = self.nodes(snapshot).withColumn("inline", self._opened_inline(F.col("inline"), secret))
         regular = chunk.hardlinks(every.where("kind = 'reg'"), IDENTITY, "path")
         nodes = regular.unionByName(every.where("kind <> 'reg'").withColumns({"first": F.col("path"), "is_link": F.lit(False)}))
         asked = regular.where("blocks is not null and not is_link").select("path", F.posexplode("blocks").alias("block", "id"))
@@ -269,7 +299,8 @@ class Repository:
         got = asked.join(self.opened(secret), "id", "left").withColumn("ok", F.coalesce(mark == F.col("id"), F.lit(False)))
         joined = got.groupBy("path").agg(chunk.joined("content", "block").alias("joined"), F.bool_and("ok").alias("ok"))
         content = F.when(~F.col("is_link"), F.coalesce("joined", "inline")).alias("content")
-        return nodes.join(joined, "path", "left").select("path", "kind", "mode", "uid", "gid", "mtim", "target", content, F.coalesce("ok", F.lit(True)).alias("is_intact"), "first", "is_link")
+        whole = F.when(F.col("inline").isNotNull(), hexed(digest(F.col("inline"), self.config.digest)) == F.col("digest")).otherwise(F.coalesce("ok", F.lit(True)))
+        return nodes.join(joined, "path", "left").select("path", "kind", "mode", "uid", "gid", "mtim", "target", content, whole.alias("is_intact"), "first", "is_link")
 
     def prune(self, keep: list[str] | None = None, invert: bool = False, filters: bool = False) -> DataFrame:
         """ids of objects that no snapshot (or none of those to keep) reaches; with invert, of those that are needed. Nothing is deleted.

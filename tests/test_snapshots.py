@@ -498,7 +498,10 @@ def test_sealed_repository(home, spark):
     assert len(stored) == 5 and all(hashlib.sha3_224(r["content"]).hexdigest() == r["blob_id"] != r["id"] for r in stored) and not any(big[:64] in bytes(r["content"]) for r in stored)
     got = {r["path"]: bytes(r["content"] or b"") for r in repo.restore(one["snapshot"], secret).where("is_intact").collect()}
     assert got["/a/big"] == big
-    assert repo.restore(one["snapshot"], crypto.generate_key()).where("not is_intact").count() == 2
+    inline = [bytes(r["inline"]) for r in repo.nodes(one["snapshot"]).where("inline is not null").collect()]
+    assert got["/a/deep/small too"] == b"hi" and len(inline) == 2 and all(b"hi" not in x or len(x) == 42 for x in inline) and {len(x) for x in inline} == {42}
+    # With another key both files of blocks and both paths of the small one come out damaged.
+    assert repo.restore(one["snapshot"], crypto.generate_key()).where("not is_intact and not is_link").count() == 3
     with pytest.raises(ValueError):
         repo.restore(one["snapshot"])
     two = repo.backup(spark.read.format("inodes").load(str(root)), files.contents(spark, str(root)), now=now + 5)
