@@ -530,6 +530,12 @@ def test_commands_end_to_end(home, tmp_path, capsys):
     assert run("restore", "-k", tmp_path / "other", "-S", "-d", out + "2", repo, done["snapshot"]) == 1 and not os.path.exists(out + "2")
     capsys.readouterr()
     assert run("prune", "-f", "-s", done["snapshot"], repo) == 0 and capsys.readouterr().out == ""
+    (tmp_path / "patterns").write_text("deep/\nz-*\n\n")
+    assert run("backup", "-v", "--pending", "-e", tmp_path / "patterns", repo, root) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert "/a/big" in lines and not [x for x in lines[:-1] if "deep" in x or x.startswith("/z-")]
+    assert run("commit", repo) == 0 and run("restore", "-n", repo, json.loads(lines[-1])["snapshot"]) == 0
+    assert run("cull", "-v", repo) == 0 and len(capsys.readouterr().out.splitlines()) > 2
 
 
 def test_gaps_and_missing_blocks(spark):
